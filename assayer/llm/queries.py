@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import neardup_embedding, shard, topk, urlfilter
+from assayer.llm import html, neardup_embedding, quality, shard, topk, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,19 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_embedding.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlfilter.apply_rules(table(spark, sf_dir, "pages"), rules)
@@ -37,6 +50,9 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op4_warc_salvage": op4_warc_salvage,
+    "op5_html_layout": op5_html_layout,
+    "op7_quality_nbsvm": op7_quality_nbsvm,
     "op8_url_filter": op8_url_filter,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_shard_tree": op10_shard_tree,
@@ -61,6 +77,18 @@ SELECT v.vec_id, coalesce(n.c, 0)::BIGINT AS n_links, coalesce(comp.root, v.vec_
 FROM v LEFT JOIN n ON n.u = v.vec_id LEFT JOIN comp ON comp.node = v.vec_id
 """
 
+#: The digest is base32 of the SHA-1: its hexadecimal digits in groups of five, two characters each.
+OP4_SQL = """
+WITH p AS (SELECT row_number() OVER () AS i, page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT i, page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x FROM p),
+b AS (SELECT *, list_transform(range(8), lambda g: ('0x' || substr(x, 5 * g + 1, 5))::BIGINT) AS q FROM d),
+e AS (SELECT i, page_id, payload_bytes, list_reduce(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((q[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31)::INT + 1, 1)), lambda a, c: a || c) AS payload_digest FROM b),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM e)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to FROM m
+"""
+
 OP8_SQL = """
 WITH rules(h, p, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 cut AS (SELECT row_number() OVER () AS i, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -117,4 +145,4 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS
 """
 
 
-SQL: dict[str, str] = {"op10_shard_tree": _op10_sql(), "op1_embedding_near_dedup": OP1_SQL, "op8_url_filter": OP8_SQL, "op9_exact_top_k": OP9_SQL}
+SQL: dict[str, str] = {"op10_shard_tree": _op10_sql(), "op1_embedding_near_dedup": OP1_SQL, "op4_warc_salvage": OP4_SQL, "op8_url_filter": OP8_SQL, "op9_exact_top_k": OP9_SQL}
