@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import html, neardup_embedding, quality, shard, topk, urlfilter, warc
+from assayer.llm import html, mixing, neardup_embedding, neardup_minhash, quality, shard, topk, urlfilter, warc, wfst
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,14 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_embedding.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_minhash.near_duplicate_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing_raked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -30,6 +38,10 @@ def op5_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -50,8 +62,11 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_mixing_raked": op3_mixing_raked,
     "op4_warc_salvage": op4_warc_salvage,
     "op5_html_layout": op5_html_layout,
+    "op6_sentencepiece_wfst": op6_sentencepiece_wfst,
     "op7_quality_nbsvm": op7_quality_nbsvm,
     "op8_url_filter": op8_url_filter,
     "op9_exact_top_k": op9_exact_top_k,
@@ -112,6 +127,37 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 
 
 
+def _op3_sql(plan: mixing.Plan) -> str:
+    """The sweeps of raking one after the other, then the factor by sums in the order of weight."""
+    steps = []
+    for m, power in zip(mixing.MARGINS, plan.powers, strict=True):
+        steps.append(f"share_{m} AS MATERIALIZED (SELECT {m} AS k, sum(x) ** {power} AS t FROM x0 GROUP BY {m}), target_{m} AS MATERIALIZED (SELECT k, t / (SELECT sum(t) FROM share_{m}) AS t FROM share_{m})")
+    n = 0
+    for _ in range(plan.sweeps):
+        for m in mixing.MARGINS:
+            scaled = f"x * t / (sum(x) OVER (PARTITION BY {m}))"
+            steps.append(f"x{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, {scaled} AS x FROM x{n} JOIN target_{m} ON {m} IS NOT DISTINCT FROM k)")
+            n += 1
+    return f"""
+WITH d AS (
+  SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f\x0b]+')), 0) AS tokens, coalesce(text, '') AS t FROM documents
+), e AS (
+  SELECT *, CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, '!! ') THEN 'shout' WHEN contains(t, chr(10) || '- ') OR contains(t, chr(10) || '* ') THEN 'list'
+    WHEN length(t) < 600 THEN 'brief' ELSE 'prose' END AS topic FROM d
+), c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM e GROUP BY ALL HAVING sum(tokens) > 0),
+x0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens / (SELECT sum(tokens) FROM c) AS x FROM c),
+{", ".join(steps)},
+w AS MATERIALIZED (SELECT source, lang, topic, tokens, x * (SELECT sum(tokens) FROM c) / tokens AS weight FROM x{n}),
+s AS (SELECT weight, {plan.budget} * (sum(tokens) OVER ()) - coalesce(sum(tokens) OVER (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS want,
+  sum(tokens * weight) OVER (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+f AS (SELECT coalesce(max_by(want / rest, weight), 1e300) AS f FROM s WHERE want / rest * weight <= 1),
+j AS (SELECT e.doc_id, e.source, e.lang, e.topic, e.tokens, CASE WHEN e.tokens = 0 THEN 1 ELSE weight END AS weight, CASE WHEN e.tokens = 0 THEN 1 ELSE least(1, weight * f) END AS probability
+  FROM e LEFT JOIN w ON e.source IS NOT DISTINCT FROM w.source AND e.lang IS NOT DISTINCT FROM w.lang AND e.topic = w.topic, f)
+SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,
+  ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 < probability AS sampled FROM j
+"""
+
+
 def _draw_sql(path: str, weight: int) -> str:
     return f"(-ln((('0x' || substr(md5('{path}|' || k), 1, 13))::BIGINT::DOUBLE + 1.0) / 4503599627370497.0) / {weight})"
 
@@ -145,4 +191,4 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS
 """
 
 
-SQL: dict[str, str] = {"op10_shard_tree": _op10_sql(), "op1_embedding_near_dedup": OP1_SQL, "op4_warc_salvage": OP4_SQL, "op8_url_filter": OP8_SQL, "op9_exact_top_k": OP9_SQL}
+SQL: dict[str, str] = {"op10_shard_tree": _op10_sql(), "op3_mixing_raked": _op3_sql(mixing.Plan()), "op1_embedding_near_dedup": OP1_SQL, "op4_warc_salvage": OP4_SQL, "op8_url_filter": OP8_SQL, "op9_exact_top_k": OP9_SQL}
