@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from assayer.plans import scores
+
+QUERIES: dict = {**scores.QUERIES}
+SQL: dict[str, str] = {**scores.SQL}
