@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.plans import scores
+from assayer.plans import prep, scores
 
-QUERIES: dict = {**scores.QUERIES}
-SQL: dict[str, str] = {**scores.SQL}
+QUERIES: dict = {**scores.QUERIES, **prep.QUERIES}
+SQL: dict[str, str] = {**scores.SQL, **prep.SQL}
