@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from assayer.plans import prep, scores
+from importlib import import_module
 
-QUERIES: dict = {**scores.QUERIES, **prep.QUERIES}
-SQL: dict[str, str] = {**scores.SQL, **prep.SQL}
+
+def _all(what: str) -> dict:
+    found: dict = {}
+    for name in ("scores", "prep", "models"):
+        found |= getattr(import_module(f"assayer.plans.{name}"), what)
+    return found
+
+
+def queries() -> dict:
+    return _all("QUERIES")
+
+
+def sql() -> dict[str, str]:
+    return _all("SQL")
