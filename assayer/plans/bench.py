@@ -101,6 +101,11 @@ def clean(x):
     return x.item() if isinstance(x, np.generic) else x
 
 
+def held_name(model: str) -> str:
+    """Column of a model's out-of-fold predictions; a model may be named like an input."""
+    return f"prediction_{model}"
+
+
 def scored(df: DataFrame, task: Task) -> tuple[DataFrame, str, str | None]:
     """The frame with the target and weight that scores use: a rate weighs by its exposure."""
     if not task.exposure:
@@ -141,8 +146,8 @@ def run(
             model = make()
             options = {"offset": "__offset"} if task.exposure else {"weight": task.weight}
             model.fit(train, task.y, **options)
-            test = model.predict(test, out=name)
-            cards[name].append(scorecard(test, y, name, task.family, w, task.power, task.threshold, name))
+            test = model.predict(test, out=held_name(name))
+            cards[name].append(scorecard(test, y, held_name(name), task.family, w, task.power, task.threshold, name))
             if features and id_col:
                 sample = tables.residual_sample(test, id_col, explain_rows, i)
                 importance.append((name, explain.permutation_importance(model, sample, y, task.family, list(features), id_col, w, task.power, i)))
@@ -172,21 +177,21 @@ def build(result: Result, df: DataFrame, y: str, w: str | None, features: Sequen
     df = df.persist()
     try:
         for n in names:
-            result.pooled[n] = scorecard(df, y, n, task.family, w, task.power, task.threshold, n)
+            result.pooled[n] = scorecard(df, y, held_name(n), task.family, w, task.power, task.threshold, n)
         by_label = lambda make: {n: make(n) for n in names}
         binary = task.family == "binomial"
-        curves: dict[str, dict] = {"calibration": by_label(lambda n: _rows(tables.calibration_table(df, y, n, w, bins).orderBy("bin")))}
+        curves: dict[str, dict] = {"calibration": by_label(lambda n: _rows(tables.calibration_table(df, y, held_name(n), w, bins).orderBy("bin")))}
         if binary:
-            curves["roc"] = by_label(lambda n: _rows(roc_curve(df, y, n, w).orderBy("fpr", "tpr")))
-            curves["pr"] = by_label(lambda n: _rows(pr_curve(df, y, n, w).orderBy("recall")))
-            curves["thresholds"] = by_label(lambda n: _rows(threshold_grid(df, y, n, w)))
+            curves["roc"] = by_label(lambda n: _rows(roc_curve(df, y, held_name(n), w).orderBy("fpr", "tpr")))
+            curves["pr"] = by_label(lambda n: _rows(pr_curve(df, y, held_name(n), w).orderBy("recall")))
+            curves["thresholds"] = by_label(lambda n: _rows(threshold_grid(df, y, held_name(n), w)))
         elif df.agg(F.min(y)).first()[0] >= 0:
-            curves["lorenz"] = by_label(lambda n: _rows(lorenz_curve(df, y, n, w).orderBy("x")))
+            curves["lorenz"] = by_label(lambda n: _rows(lorenz_curve(df, y, held_name(n), w).orderBy("x")))
         res = {}
         for n in names:
-            r = tables.residuals(df, y, n, task.family, w, task.power)
-            res[n] = {"summary": _rows(tables.residual_summary(r))[0], "histogram": _rows(tables.residual_histogram(r).orderBy("bin")), "by_feature": {f: _rows(tables.ae_by_feature(df, f, y, n, w, bins).orderBy("position")) for f in features}}
-            pairs = {(a, b): tables.ae_by_two(df, a, b, y, n, w, 5) for i, a in enumerate(features) for b in features[i + 1 :]}
+            r = tables.residuals(df, y, held_name(n), task.family, w, task.power)
+            res[n] = {"summary": _rows(tables.residual_summary(r))[0], "histogram": _rows(tables.residual_histogram(r).orderBy("bin")), "by_feature": {f: _rows(tables.ae_by_feature(df, f, y, held_name(n), w, bins).orderBy("position")) for f in features}}
+            pairs = {(a, b): tables.ae_by_two(df, a, b, y, held_name(n), w, 5) for i, a in enumerate(features) for b in features[i + 1 :]}
             res[n]["pairs_ranked"] = [{"a": a, "b": b, "strength": s} for a, b, s in tables.rank_pairs(pairs)]
         imp: dict[str, dict[str, list[float]]] = {}
         for name, t in importance:
@@ -200,7 +205,7 @@ def build(result: Result, df: DataFrame, y: str, w: str | None, features: Sequen
             "bench": {"summary": result.summary(), "seconds": result.seconds}, "explain": {n: {f: {"mean": float(np.mean(v)), "std": float(np.std(v))} for f, v in d.items()} for n, d in imp.items()},
         }
         if not binary and len(names) > 1:
-            document["tournament"] = _rows(tables.win_sets(df, y, names, w))
+            document["tournament"] = _rows(tables.win_sets(df, y, [held_name(n) for n in names], w))
         result.report = document
     finally:
         df.unpersist()
