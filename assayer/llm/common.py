@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_BYTES = 16 << 20
 
@@ -92,6 +93,26 @@ def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def maybe_among(df: DataFrame, key: str, wanted: DataFrame, out: str, most_bits: int = 1 << 27) -> DataFrame:
+    """``df`` with a flag: false only where the key is certainly not among those of ``wanted`` (column ``key``).
+
+    A bitmap of hashed keys, 16 bits a key and never more than ``most_bits`` (16 MB), is
+    broadcast, so that rows without a partner stay out of the shuffle of the join that
+    decides. With more keys than fit, more rows are flagged; the join stays right.
+    """
+    bits = 1 << 15
+    n = wanted.count()
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    maps = wanted.select(place(key).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__assayer_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__assayer_map"))
+    at = F.bitmap_bit_position(place(key)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__assayer_map"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), at.bitwiseAND(F.lit(7)) + 1)
+    hit = F.col(key).isNotNull() & F.coalesce(byte.bitwiseAND(mask) > 0, F.lit(False))
+    return df.join(F.broadcast(maps), F.bitmap_bucket_number(place(key)) == F.col("__assayer_bucket"), "left").select(*df.columns, hit.alias(out))
+
+
 def list_matrix(column: pa.Array | pa.ChunkedArray, dim: int, dtype=np.float64) -> np.ndarray:
     """A list column whose rows all have ``dim`` non-null numbers as a matrix."""
     if isinstance(column, pa.ChunkedArray):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import groups, parallelism, small_batches, stored
+from assayer.llm.common import cut, groups, maybe_among, parallelism, small_batches, stored
 from assayer.llm.components import connected_components
 from assayer.llm.words import mix, shingles
 
@@ -253,18 +253,20 @@ def near_duplicate_documents(docs: DataFrame, threshold: float = 0.8, size: int
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     weights = shingle_weights(base, size, common)
     sampler = spark.sparkContext.broadcast(Sampler(weights, bands, rows))  # tables of a fixed size, and the frequent shingles
-    live = base.filter("doc_id is not null and text <> ''").withColumn("digest", F.concat(F.md5("text"), F.lpad(F.hex(F.length("text").cast("long")), 8, "0")))
-    signed = stored(live.select("doc_id", "digest", "text").mapInArrow(lambda it: _signatures(it, sampler.value, size), "doc_id long, digest string, bands array<long>"), "signatures")
+    live = base.filter("doc_id is not null and text <> ''").withColumn("digest", F.unhex(F.md5("text")))
+    signed = stored(live.select("doc_id", "digest", "text").mapInArrow(lambda it: _signatures(it, sampler.value, size), "doc_id long, digest binary, bands array<long>"), "signatures")
     classes = signed.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    heads = signed.join(classes, [signed["digest"] == classes["digest"], signed["doc_id"] == classes["node"]], "left_semi").dropDuplicates(["digest"])
+    first = signed.join(classes, "digest").filter("doc_id = node").select("node", "digest", "bands")
+    heads = stored(first.dropDuplicates(["digest"]), "heads")
     # pointers to the smallest member of each bucket; minima are partial before the shuffle
-    band = heads.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "key"))
+    band = heads.select("node", F.posexplode("bands").alias("band", "key"))
     least = band.groupBy("band", "key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     pointers = band.join(least, ["band", "key"]).filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
     comps = connected_components(pointers).withColumnRenamed("component", "comp")
-    texts = live.select(F.col("doc_id").alias("node"), "text", "digest")
-    grouped = texts.join(comps, "node").join(heads.select(F.col("digest"), F.col("doc_id").alias("node")), ["digest", "node"], "left_semi")
-    members = stored(grouped.select("node", "comp", "text").dropDuplicates(["node"]), "candidates")
+    wanted = cut(comps.join(heads.select("node", F.col("digest").alias("own")), "node"))
+    texts = maybe_among(live.select(F.col("doc_id").alias("node"), "text", "digest"), "node", wanted, "maybe").filter("maybe")
+    grouped = texts.join(wanted, "node").filter("digest = own")
+    members = stored(grouped.select("node", "comp", "digest", "text").dropDuplicates(["node", "digest"]), "candidates")
     leaders = members.filter("node = comp").select("comp", F.col("text").alias("leader"))
     led = members.filter("node <> comp").join(leaders, "comp").select("node", "comp", "text", "leader", F.octet_length("text").cast("long").alias("bytes"))
     far = stored(led.mapInArrow(lambda it: _to_leader(it, size, sampler.value.weights), "node long, comp long, bytes long, d double"), "leader-distances")
@@ -279,7 +281,7 @@ def near_duplicate_documents(docs: DataFrame, threshold: float = 0.8, size: int
     placed = dealt.repartition(p, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "d", "node")
     inner = placed.mapInArrow(lambda it: _verify(it, size, sampler.value.weights, threshold), "u long, v long")
     final = connected_components(near.unionByName(inner))
-    known = classes.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
+    known = heads.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     classed = signed.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id")
     rest = base.filter("doc_id is null or text is null or text = ''").select("doc_id", F.col("doc_id").alias("class_id"))
     return classed.unionByName(rest).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
@@ -288,16 +290,15 @@ def near_duplicate_documents(docs: DataFrame, threshold: float = 0.8, size: int
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that their class keeps, all columns, each id and text once.
 
-    Rows without an id stay as they are. Most rows stay, so the ids that go are the smaller
-    side of the join.
+    Rows without an id stay as they are. Only rows that may go, or that repeat an id, pass
+    through a shuffle.
     """
     found = near_duplicate_documents(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull())
-    left = named.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    # one row of those that repeat an id and text; the join has dealt rows by id already
-    twice = named.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col(id_col).alias("__twice"))
-    marked = left.join(twice, F.col(id_col) == F.col("__twice"), "left")
-    once = marked.filter("__twice is null").drop("__twice")
-    again = marked.filter("__twice is not null").drop("__twice").dropDuplicates([id_col, text_col])
-    return once.unionByName(again).unionByName(docs.filter(F.col(id_col).isNull()))
+    key = F.col(id_col).cast("long")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("__assayer_id"))
+    twice = docs.groupBy(key.alias("__assayer_id")).agg(F.count(F.lit(1)).alias("__assayer_n")).filter("__assayer_id is not null and __assayer_n > 1").select("__assayer_id")
+    gone = cut(gone.distinct())
+    flagged = maybe_among(docs.withColumn("__assayer_id", key), "__assayer_id", gone.unionByName(twice).distinct(), "__assayer_maybe")
+    sure = flagged.filter("not __assayer_maybe").select(*docs.columns)
+    left = flagged.filter("__assayer_maybe").join(gone, "__assayer_id", "left_anti")
+    return sure.unionByName(left.dropDuplicates(["__assayer_id", text_col]).select(*docs.columns))
