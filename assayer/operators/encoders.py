@@ -142,7 +142,7 @@ class TargetEncode:
         """
         w, a = column(weight), column(y)
         bounds = ordered.ranges(df, F.col(time).cast("double"))
-        d = df.withColumns({"__r": ordered._range(F.col(time).cast("double"), bounds), "__l": F.col(self.name).cast("string"), "__w": w, "__wy": w * a})
+        d = df.withColumns({"__r": ordered.place(F.col(time).cast("double"), bounds), "__l": F.col(self.name).cast("string"), "__w": w, "__wy": w * a})
         cell = d.groupBy("__r", "__l").agg(F.sum("__w").alias("w"), F.sum("__wy").alias("wy"))
         of_level = cell.select("__r", "__l", *[F.coalesce(F.sum(c).over(Window.partitionBy("__l").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"l_{c}") for c in ("w", "wy")])
         whole = cell.groupBy("__r").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))

@@ -178,7 +178,7 @@ def threshold_grid(df: DataFrame, y: Name, score: Name, weight: Name | None = No
     if check_inputs:
         check(df, inputs(a, s, w) + binary(a), w)
     marks = [i / (points - 1) for i in range(points)]
-    at = F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m <= s))
+    at = ordered.place(s, marks, inclusive=True)
     spark = df.sparkSession
     part = df.select(at.alias("i"), (w * (a == 1).cast("double")).alias("pos"), (w * (a == 0).cast("double")).alias("neg")).groupBy("i").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     grid = spark.createDataFrame([(i, m) for i, m in enumerate(marks, 1)], "i int, threshold double").unionByName(spark.createDataFrame([(0, None)], "i int, threshold double"))

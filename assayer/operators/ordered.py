@@ -29,15 +29,22 @@ def ranges(df: DataFrame, key: Column, parts: int = RANGES) -> list[float]:
     return sorted(set(found))
 
 
-def _range(key: Column, bounds: list[float]) -> Column:
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: key > b))
+def place(v: Column, bounds: list[float], inclusive: bool = False) -> Column:
+    """How many sorted bounds lie below v, or at or below it: a binary search as nested choices."""
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        mark = F.lit(float(bounds[mid]))
+        return F.when(v >= mark if inclusive else v > mark, among(mid + 1, high)).otherwise(among(low, mid))
+
+    return among(0, len(bounds))
 
 
 def running(groups: DataFrame, names: list[str], bounds: list[float], descending: bool = False) -> DataFrame:
     """Adds cum_<name>, the inclusive running sum in key order."""
-    g = groups.withColumn("__range", _range(F.col("key"), bounds))
+    g = groups.withColumn("__range", place(F.col("key"), bounds))
     order = F.col("key").desc() if descending else F.col("key").asc()
     side = F.col("__range").desc() if descending else F.col("__range").asc()
     within = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -79,8 +86,7 @@ def _cells(df: DataFrame, key: Column, w: Column, bins: int, bounds: list[float]
     g = walk(df, key, {"w": w}, bounds=bounds)
     mid = F.col("cum_w") - F.col("w") / 2
     marks = edges(float(total), bins)
-    cell = F.size(F.filter(F.array(*[F.lit(e) for e in marks]), lambda e: mid >= e)) if marks else F.lit(0)
-    return g.withColumn("cell", cell)
+    return g.withColumn("mid", mid).withColumn("cell", place(F.col("mid"), marks, inclusive=True)).drop("mid")
 
 
 def equal_weight_bins(df: DataFrame, key: Column, w: Column, bins: int, bounds: list[float] | None = None) -> DataFrame:
@@ -114,4 +120,4 @@ def with_bin(df: DataFrame, key: Column, bins: DataFrame) -> DataFrame:
     key of each bin and the lookup is a comparison with as many bounds as there are bins.
     """
     tops = [r["top"] for r in bins.groupBy("bin").agg(F.max("key").alias("top")).orderBy("bin").collect()]
-    return df.withColumn("bin", _range(key.cast("double"), tops[:-1]))
+    return df.withColumn("bin", place(key.cast("double"), tops[:-1]))

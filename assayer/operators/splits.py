@@ -107,4 +107,4 @@ def time_ordered(df: DataFrame, time: str, folds: int = 5, min_train: float = 0.
 def time_folds(df: DataFrame, time: str, folds: int = 5, min_train: float = 0.3) -> DataFrame:
     """``df`` with fold, the block that tests the row; -1 for rows that only train."""
     cuts = [f.low for f in time_ordered(df, time, folds, min_train)]
-    return df.withColumn("fold", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(time).cast("double"))) - 1)
+    return df.withColumn("fold", ordered.place(F.col(time).cast("double"), cuts, inclusive=True) - 1)

@@ -92,8 +92,7 @@ def residual_summary(df: DataFrame, residual: Name = "residual") -> DataFrame:
 
 def _counted(df: DataFrame, v: Column, w: Column, marks: Sequence[float], more: Sequence[Column] = ()) -> DataFrame:
     """Rows and weight between even edges, empty bins included; the last bin is closed."""
-    inner = list(marks[1:-1])
-    at = F.size(F.filter(F.array(*[F.lit(float(m)) for m in inner]), lambda m: m <= v)) if inner else F.lit(0)
+    at = ordered.place(v, list(marks[1:-1]), inclusive=True)
     got = df.withColumn("bin", at).groupBy("bin").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(w).alias("weight"), *more)
     grid = df.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(marks[:-1], marks[1:], strict=True))], "bin int, low double, high double")
     return grid.join(got, "bin", "left").na.fill(0, ["n_rows"]).na.fill(0.0, ["weight"])

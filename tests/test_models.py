@@ -194,7 +194,7 @@ def test_partial_dependence_and_importance(spark, claims):
 def test_bench_report(claims, tmp_path):
     folded = splits.kfold(claims, "id", 2)
     task = bench.Task("y", "poisson", exposure="exposure")
-    r = bench.run(folded, task, {"plain": lambda: GLM("poisson", {"age": "raw"}), "region": lambda: GLM("poisson", {"age": "raw", "region": "onehot"})}, fold="fold", id_col="id", features=["age", "region"], explain_rows=200)
+    r = bench.run(folded, task, {"plain": lambda: GLM("poisson", {"age": "raw"}), "region": lambda: GLM("poisson", {"age": "raw", "region": "onehot"})}, fold="fold", id_col="id", features=["age", "region"], bins=5, explain_rows=100)
     assert r.predictions.count() == claims.count()
     bench.validate(r.report)
     r.write(tmp_path)
