@@ -25,7 +25,7 @@ from assayer.llm.common import small_batches
 from assayer.llm.words import grams, tokens
 
 #: Bounds of the fitted sample.
-MAX_ROWS, MAX_FEATURES = 6000, 6_000_000
+MAX_ROWS, MAX_FEATURES = 4000, 3_000_000
 
 
 def features(texts: list[str | None], bits: int) -> list[np.ndarray]:
@@ -164,7 +164,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def _score(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, 4 << 20):
+    for batch in small_batches(batches, 2 << 20):
         text = batch.column(batch.num_columns - 1)
         scores = pa.array(model.scores(text.to_pylist()), pa.float64())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], "score"])
@@ -196,7 +196,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
     names = docs.columns
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 4 << 20):
+        for batch in small_batches(batches, 2 << 20):
             texts = batch.column(names.index(text_col)).to_pylist()
             yield batch.filter(pa.array(sent.value.scores(texts) >= threshold, pa.bool_()))
 

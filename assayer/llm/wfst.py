@@ -18,6 +18,7 @@ exactly one path has a finite weight, and it is the model's own encoding.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -83,7 +84,7 @@ class CharMap:
 class Tokenizer:
     """A compiled model."""
 
-    def __init__(self, blob: bytes, cache_size: int = 600_000) -> None:
+    def __init__(self, blob: bytes, cache_size: int = 200_000) -> None:
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -106,18 +107,20 @@ class Tokenizer:
         self.fallback = proto.trainer_spec.byte_fallback and min(self.byte_ids) >= 0
         if any(k in (USER, UNUSED) for k in self.kinds):
             raise ValueError("models with user-defined or unused pieces are not supported: their pieces bypass the weights")
-        # the lexicon: its pieces, and every prefix of one as an inner state
+        # the lexicon: its pieces with their ids, and every prefix that is none as an inner state, -1
         self.lexicon = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
-        self.prefixes = {p[:n] for p in self.lexicon for n in range(1, len(p) + 1)}
+        self.arcs = {p[:n]: -1 for p in self.lexicon for n in range(1, len(p))} | self.lexicon
         normal = [s for s, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL]
         self.unknown_weight = -(min(normal, default=0.0) - UNKNOWN_PENALTY)
         # no piece spans a border in front of a mark, or a line break or tab that no piece has: such parts are encoded alone
         apart = not any(MARK in p.lstrip(MARK) for p in self.lexicon)
         lone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.lexicon))
         self.split = re.compile(f"[{lone}]|{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" if lone else f"{MARK}+[^{MARK}]*|[^{MARK}]+") if apart else re.compile(r"(?s).+")
+        # two generations: parts used since the last change move on, so frequent ones stay and memory is bounded
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_size = cache_size
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         surface = {CONTROL: b"", UNKNOWN: self.unknown_surface.encode()}
         self.surface = [bytes([int(p[3:5], 16)]) if k == BYTE else surface.get(k, p.replace(MARK, " ").encode()) for p, k in zip(self.pieces, self.kinds, strict=True)]
 
@@ -145,84 +148,94 @@ class Tokenizer:
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether the acceptor has an arc from a to b; an empty a is the start."""
-        known = self.pairs.get((a, b))
+    def follows(self, a: int, b: int) -> bool:
+        """Whether the acceptor has an arc from piece a to piece b; a is -1 at the start and after characters without a piece."""
+        key = (a << 32) + b
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= self.cache_size:
+            if len(self.pairs) >= 3 * self.cache_size:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merges(a + b) == ([a, b] if a else [b])
+            right = self.pieces[b]
+            known = self.pairs[key] = self.merges(self.pieces[a] + right) == [self.pieces[a], right] if a >= 0 else self.merges(right) == [right]
         return known
 
-    def shortest_path(self, text: str) -> list[tuple[str, int]]:
-        """Pieces and ids of the path of least weight; id -1 is a character without a piece.
+    def shortest_path(self, text: str) -> list[int]:
+        """Ids of the pieces on the path of least weight.
 
         Arcs only lead forward, so one sweep over the positions settles all weights.
         """
-        before = self._sweep_pairs(text) if self.kind == BPE else self._sweep_weights(text)
-        out, i = [], len(text)
+        best, before = self._sweep_pairs(text) if self.kind == BPE else self._sweep_weights(text)
+        out: list[int] = []
+        i = len(text)
         while i:
-            part = text[before[i] : i]
-            out.append((part, self.lexicon.get(part, -1)))
-            i = before[i]
+            j = before[i]
+            if best[i] >= 0:
+                out.append(best[i])
+            elif self.fallback:
+                out += [self.byte_ids[b] for b in reversed(text[j:i].encode("utf-8", "replace"))]
+            else:
+                out.append(self.unknown)
+            i = j
         return out[::-1]
 
-    def _sweep_weights(self, text: str) -> list[int]:
-        """Where the last arc of the best path to each position starts; the acceptor has one state."""
-        n, lexicon, prefixes = len(text), self.lexicon, self.prefixes
-        weight, before = [float("inf")] * (n + 1), [0] * (n + 1)
+    def _sweep_weights(self, text: str) -> tuple[list[int], list[int]]:
+        """The last piece of the best path to each position (-1: a character without one) and where it starts; the acceptor has one state."""
+        n, arcs = len(text), self.arcs
+        weight, best, before = [float("inf")] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         weight[0] = 0.0
         for i in range(n):
             for j in range(i + 1, n + 1):
-                part = text[i:j]
-                at = lexicon.get(part)
-                if at is not None or j == i + 1:
-                    total = weight[i] + (self.unknown_weight if at is None else -self.scores[at])
-                    if total < weight[j]:
-                        weight[j], before[j] = total, i
-                if part not in prefixes:
-                    break
-        return before
-
-    def _sweep_pairs(self, text: str) -> list[int]:
+                at = arcs.get(text[i:j])
+                if at is None or at < 0:
+                    if j == i + 1 and weight[i] + self.unknown_weight < weight[j]:
+                        weight[j], best[j], before[j] = weight[i] + self.unknown_weight, -1, i
+                    if at is None:
+                        break
+                elif weight[i] - self.scores[at] < weight[j]:
+                    weight[j], best[j], before[j] = weight[i] - self.scores[at], at, i
+        return best, before
+
+    def _sweep_pairs(self, text: str) -> tuple[list[int], list[int]]:
         """The same for a byte-pair model: a position is reached in one state at most, as a prefix has one encoding."""
-        n, lexicon, prefixes, pairs = len(text), self.lexicon, self.prefixes, self.pairs
-        state: list[str | None] = [None] * (n + 1)
-        before = [0] * (n + 1)
-        state[0] = ""
+        n, arcs, pairs = len(text), self.arcs, self.pairs
+        state, before = [-2] * (n + 1), [0] * (n + 1)
+        state[0] = -1
         for i in range(n):
             here = state[i]
-            if here is None:
+            if here == -2:
                 continue
+            left = here << 32
             for j in range(i + 1, n + 1):
-                part = text[i:j]
-                if part not in prefixes:
-                    if j == i + 1:  # no piece has this character: it merges with nothing
-                        state[j], before[j] = "", i
-                    break
-                if state[j] is None:
-                    if part in lexicon:
-                        if pairs.get((here, part)) or (here, part) not in pairs and self.follows(here, part):
-                            state[j], before[j] = part, i
-                    elif j == i + 1:
-                        state[j], before[j] = "", i
-        return before
+                at = arcs.get(text[i:j])
+                if at is None or at < 0:
+                    if j == i + 1 and state[j] == -2:  # no piece is this character alone
+                        state[j], before[j] = -1, i
+                    if at is None:
+                        break
+                elif state[j] == -2:
+                    known = pairs.get(left + at)
+                    if known or known is None and self.follows(here, at):
+                        state[j], before[j] = at, i
+        return state, before
 
     def _part(self, text: str) -> bytes:
-        ids: list[int] = []
-        for part, at in self.shortest_path(text):
-            if at >= 0:
-                ids.append(at)
-            elif self.fallback:
-                ids += [self.byte_ids[b] for b in part.encode("utf-8", "replace")]
-            else:
-                ids.append(self.unknown)
-        out = np.array(ids, np.int32).tobytes()
+        """Ids of a part that the younger generation lacks."""
+        known = self.older.get(text)
+        if known is not None:
+            return self._keep(text, known)
+        return self._keep(text, array("i", self.shortest_path(text)).tobytes())
+
+    def _keep(self, text: str, ids: bytes) -> bytes:
         if len(text) <= 64:
             if len(self.cache) >= self.cache_size:
+                self.older = dict(self.cache)
                 self.cache.clear()
-            self.cache[text] = out
-        return out
+            self.cache[text] = ids
+        return ids
+
+    def rest(self) -> None:
+        """Between partitions the worker keeps one generation, as other stages share its memory."""
+        self.older = {}
 
     def encode(self, text: str) -> np.ndarray:
         cache, part = self.cache, self._part
@@ -259,6 +272,7 @@ def _encode(batches: Iterable[pa.RecordBatch], blob: bytes) -> Iterator[pa.Recor
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)), mask=missing)
         counts = pa.array(np.diff(ends).astype(np.int64), mask=np.array([x is None for x in texts], bool))
         yield pa.RecordBatch.from_arrays([batch.column(0), lists, counts, back], names=["doc_id", "ids", "n_tokens", "round_trip"])
+    t.rest()
 
 
 def model_bytes(path: str | None = None) -> bytes:
