@@ -239,7 +239,7 @@ class Tokenizer:
 
     def encode(self, text: str) -> np.ndarray:
         cache, part = self.cache, self._part
-        raw = b"".join([cache[s] if s in cache else part(s) for s in self.split.findall(self.normalize(text))])
+        raw = b"".join([cache.get(s) or part(s) for s in self.split.findall(self.normalize(text))])
         ids = np.frombuffer(raw, np.int32)
         if not self.fallback and len(ids) > 1:  # a run of unknown characters is one unknown piece
             again = np.concatenate(([False], (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)))
