@@ -4,8 +4,8 @@ Features are indicators of unigrams and bigrams of tokens and of runs of one to
 shapes (case, marks, repetition), hashed to ``2**bits`` columns. Each
 column is scaled by the log ratio of its smoothed counts in the two classes, and a linear
 hinge-loss model is fitted to the scaled, length-normalised rows by dual coordinate
-descent. A logistic map of the margin, fitted on a part of the labelled rows that the
-descent leaves out, gives the score.
+descent. A logistic map of the margin, fitted on the margins that rows get from descents
+which leave them out, gives the score.
 
 The fit runs on the driver over at most ``max_rows`` labelled rows and ``max_features``
 features; scoring is one Arrow pass over whole texts without a shuffle.
@@ -26,6 +26,8 @@ from assayer.llm.words import grams, tokens
 
 #: Bounds of the fitted sample.
 MAX_ROWS, MAX_FEATURES = 4000, 3_000_000
+#: Parts of the cross-fit that calibrates the score.
+PARTS = 4
 
 
 def features(texts: list[str | None], bits: int) -> list[np.ndarray]:
@@ -118,18 +120,22 @@ def train(texts: list[str | None], y: np.ndarray, bits: int = 18, c: float = 1.0
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(bits, np.zeros(1 << bits), 0.0, 1.0, float(np.log(share / (1 - share))))
     rows = [r for at in range(0, len(texts), 256) for r in features(texts[at : at + 256], bits)]
-    hold = np.arange(len(y)) % 4 == 0
     weigh = lambda v: c * np.where(v == 1, len(v) / (2 * max((v == 1).sum(), 1)), len(v) / (2 * max((v == 0).sum(), 1)))
 
     def fit(keep: np.ndarray) -> tuple[np.ndarray, float]:
         mine = [rows[i] for i in np.flatnonzero(keep)]
         return dual_coordinate_descent(mine, log_count_ratio(mine, y[keep], 1 << bits), y[keep], weigh(y[keep]))
 
-    def margins(w: np.ndarray, b: float, keep: np.ndarray) -> np.ndarray:
-        return np.array([_margin(w, b, rows[i]) for i in np.flatnonzero(keep)])
-
-    part = ~hold if len(set(y[~hold].tolist())) == 2 and len(set(y[hold].tolist())) == 2 else np.ones(len(y), bool)
-    a, b = logistic(margins(*fit(part), ~part if not part.all() else part), y[~part if not part.all() else part])
+    # margins of rows that the descent did not see: each class is dealt round the parts
+    part = np.zeros(len(y), int)
+    for v in (0, 1):
+        part[y == v] = np.arange((y == v).sum()) % PARTS
+    margins = np.zeros(len(y))
+    for k in range(PARTS):
+        keep = part != k
+        w, b = fit(keep if len(set(y[keep].tolist())) == 2 else np.ones(len(y), bool))
+        margins[~keep] = [_margin(w, b, rows[i]) for i in np.flatnonzero(~keep)]
+    a, b = logistic(margins, y)
     weights, intercept = fit(np.ones(len(y), bool))
     return Model(bits, weights, intercept, a, b)
 
