@@ -14,7 +14,7 @@ def connect(sf_dir):
 
 
 def text(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "~"
     return f"{v + 0.0:.5g}" if isinstance(v, float) else str(v)
 
