@@ -1,9 +1,8 @@
 """Near-duplicate documents: consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies. A shingle found in at most ``floor`` = max(1, ``common`` * N) of N
-   documents weighs as if in ``floor``, so only the frequent ones need a count: at most
-   1 / ``common`` times the mean number of shingles of a document, whatever N. A first pass
-   counts all shingles in hashed buckets, a second counts those of heavy buckets exactly.
+1. Document frequencies, exact. Texts are dealt to buckets of bounded size; each bucket sends
+   its distinct shingles, packed in ranges of their hash, to the counts of the range and gets
+   back those that more than one document has. All others have a frequency of 1.
 2. Signatures. Improved consistent weighted sampling draws ``bands * rows`` samples of each
    document's shingles, weighted by count times inverse document frequency. The gamma and
    uniform variables of a shingle come from tables that its hash points into. Samples of
@@ -29,19 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import cut, groups, maybe_among, parallelism, small_batches, stored
+from assayer.llm.common import cut, groups, maybe_among, parallelism, runs, small_batches, stored
 from assayer.llm.components import connected_components
 from assayer.llm.words import mix, shingles
 
-BUCKET_BITS = 18
-BLOCK = 4096
+#: Bytes of text of a bucket and of a range of shingles, about.
+BUCKET_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 TABLE_BITS = 16
 U = np.uint64
 
 
 @dataclass(frozen=True)
 class Weights:
-    """Weights of shingles: ``rare`` for all but the ``frequent`` hashes, which are sorted."""
+    """Values of shingles: ``rare`` for all but the ``frequent`` hashes, which are sorted."""
 
     rare: float
     frequent: np.ndarray
@@ -72,59 +71,47 @@ def counted(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray,
     return doc[at], h[at], np.diff(np.concatenate((at, [len(h)])))
 
 
-def _bucket_counts(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << BUCKET_BITS, np.int64)
-    for batch in small_batches(batches, 4 << 20):
-        _, h, _ = counted(batch.column("text").to_pylist(), size)
-        total += np.bincount((h >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
-    rows = total.reshape(-1, BLOCK)
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["part", "counts"])
-
-
-def _add_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for g in groups(batches, ["part"]):
-        total = sum(np.frombuffer(c, np.int64) for c in g.column("counts").to_pylist())
-        yield pa.RecordBatch.from_arrays([g.column("part").combine_chunks()[:1], pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
-
-
-def _exact_counts(batches: Iterable[pa.RecordBatch], size: int, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, 4 << 20):
-        _, h, _ = counted(batch.column("text").to_pylist(), size)
-        h, n = np.unique(h[heavy[(h >> U(64 - BUCKET_BITS)).astype(np.int64)]], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-
-def shingle_weights(docs: DataFrame, size: int = 5, common: float = 0.01) -> Weights:
-    """Weights from the document frequencies of all rows of ``docs`` (text)."""
-    texts = docs.select("text")
-    n = texts.filter("text is not null").count()
-    floor = max(1.0, common * n)
-    p = parallelism(docs.sparkSession)
-    parts = texts.mapInArrow(lambda it: _bucket_counts(it, size), "part int, counts binary")
-    summed = parts.repartition(p, "part").sortWithinPartitions("part").mapInArrow(_add_counts, "part int, counts binary")
-    heavy = np.zeros(1 << BUCKET_BITS, bool)
-    for r in summed.collect():  # as many rows as there are blocks of buckets
-        heavy[r["part"] * BLOCK : (r["part"] + 1) * BLOCK] = np.frombuffer(bytes(r["counts"]), np.int64) > floor
-    rare = float(inverse_frequency(floor, n))
-    if not heavy.any():
-        return Weights(rare, np.zeros(0, U), np.zeros(0))
-    exact = texts.mapInArrow(lambda it: _exact_counts(it, size, heavy), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > floor)
-    rows = exact.collect()  # at most 1 / common times the mean shingles of a document
-    h = np.array([r["h"] for r in rows], np.int64).view(U)
-    order = np.argsort(h)
-    return Weights(rare, h[order], np.asarray(inverse_frequency(np.array([r["n"] for r in rows], float)[order], n)))
+def _ranged(batches: Iterable[pa.RecordBatch], size: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Distinct shingles of each bucket in ``2**bits`` ranges of their hash, with the number of its rows that have each."""
+    for g in groups(batches, ["bucket"]):
+        parts = [counted(part.column("text").to_pylist(), size)[1] for part in small_batches(g.select(["text"]).to_batches(), 4 << 20)]
+        h, n = np.unique(np.concatenate(parts), return_counts=True)
+        at = runs((h >> U(64 - bits)).astype(np.int64)) if bits else np.array([0, len(h)])
+        if not len(h):
+            continue
+        which = (h[at[:-1]] >> U(64 - bits)).astype(np.int32) if bits else np.zeros(1, np.int32)
+        cuts = list(zip(at[:-1], at[1:], strict=True))
+        n = n.astype(np.uint32)
+        bucket = np.full(len(cuts), g.column("bucket")[0].as_py(), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(bucket), pa.array([h[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary())], names=["range", "bucket", "h", "n"])
+
+
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each bucket those of its shingles that more than one document has, with their document frequencies."""
+    for g in groups(batches, ["range"]):
+        parts = [np.frombuffer(x, U) for x in g.column("h").to_pylist()]
+        n = np.concatenate([np.frombuffer(x, np.uint32) for x in g.column("n").to_pylist()])
+        _, at = np.unique(np.concatenate(parts), return_inverse=True)
+        df = np.bincount(at, n).astype(np.uint32)[at]
+        ends = np.cumsum([len(x) for x in parts])
+        out_h, out_n = [], []
+        for x, end in zip(parts, ends, strict=True):
+            own = df[end - len(x) : end]
+            out_h.append(x[own > 1].tobytes())
+            out_n.append(own[own > 1].tobytes())
+        yield pa.RecordBatch.from_arrays([g.column("bucket").combine_chunks(), pa.array(out_h, pa.binary()), pa.array(out_n, pa.binary())], names=["bucket", "h", "n"])
 
 
 class Sampler:
     """Improved consistent weighted sampling with tabled draws; the tables are the same in every process."""
 
-    def __init__(self, weights: Weights, bands: int, rows: int, seed: int = 5) -> None:
+    def __init__(self, rare: float, bands: int, rows: int, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         n = 1 << TABLE_BITS
         self.r, self.c, self.beta = rng.gamma(2, 1, n), np.log(rng.gamma(2, 1, n)), rng.random(n)
         self.odd = rng.integers(0, 2**63, bands * rows, dtype=U) * U(2) + U(1)
-        self.weights, self.bands, self.rows = weights, bands, rows
-        self.usual = self._level(np.arange(n), np.log(weights.rare))
+        self.rare, self.bands, self.rows = rare, bands, rows
+        self.usual = self._level(np.arange(n), np.log(rare))
 
     def _level(self, at: np.ndarray, log_weight: np.ndarray | float) -> np.ndarray:
         """ln a of the draw, as an ordered integer in the upper 32 bits; equal for equal t only."""
@@ -133,13 +120,12 @@ class Sampler:
         a = self.c[at] - r * (t - self.beta[at]) - r
         return np.clip((a + 1024) * 2.0**21, 0, 2.0**32 - 1).astype(U) << U(32)
 
-    def samples(self, doc: np.ndarray, h: np.ndarray, count: np.ndarray, texts: int) -> np.ndarray:
-        """texts x samples keys: the level of the smallest draw and bits of its shingle."""
+    def samples(self, doc: np.ndarray, h: np.ndarray, count: np.ndarray, w: np.ndarray, texts: int) -> np.ndarray:
+        """texts x samples keys: the level of the smallest draw and bits of its shingle; ``w`` are the inverse document frequencies."""
         out = np.full((texts, len(self.odd)), np.iinfo(U).max)
         if not len(h):
             return out
-        w = self.weights.of(h)
-        odd_ones = np.flatnonzero((count > 1) | (w != self.weights.rare))
+        odd_ones = np.flatnonzero((count > 1) | (w != self.rare))
         log_w = np.log(w[odd_ones] * count[odd_ones])
         starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         for j, m in enumerate(self.odd):
@@ -151,22 +137,51 @@ class Sampler:
             out[doc[starts], j] = np.minimum.reduceat(key | (x & U(0xFFFFFFFF)), starts)
         return out
 
-    def band_keys(self, texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
+    def band_keys(self, doc: np.ndarray, h: np.ndarray, count: np.ndarray, w: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """texts x bands keys as signed integers, and which texts have shingles."""
-        doc, h, count = counted(texts, size)
-        s = self.samples(doc, h, count, len(texts)).reshape(len(texts), self.bands, self.rows)
-        key = np.arange(self.bands, dtype=U)[None, :].repeat(len(texts), 0)
+        s = self.samples(doc, h, count, w, texts).reshape(texts, self.bands, self.rows)
+        key = np.arange(self.bands, dtype=U)[None, :].repeat(texts, 0)
         for i in range(self.rows):
             key = mix(key + s[:, :, i])
-        return key.view(np.int64), np.bincount(doc, minlength=len(texts)) > 0
+        return key.view(np.int64), np.bincount(doc, minlength=texts) > 0
 
 
-def _signatures(batches: Iterable[pa.RecordBatch], sampler: Sampler, size: int) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, 4 << 20):
-        keys, live = sampler.band_keys(batch.column("text").to_pylist(), size)
+SIGNED = "doc_id long, digest binary, bands array<long>, df binary"
+
+
+def _signatures(texts: pa.Table, shared: pa.Table, sampler: Sampler, size: int, n: int) -> pa.Table:
+    """Band keys of a bucket's texts, and the document frequencies of each one's distinct shingles in the order of their hashes."""
+    names = ["doc_id", "digest", "bands", "df"]
+    h, df = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in shared.column(c).to_pylist())]) for c, t in (("h", U), ("n", np.uint32)))
+    order = np.argsort(h)
+    known = Weights(1.0, h[order], df[order].astype(float))
+    out = [pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())], names=names)]
+    for batch in small_batches(texts.select(["doc_id", "digest", "text"]).to_batches(), 4 << 20):
+        doc, h, count = counted(batch.column("text").to_pylist(), size)
+        df = known.of(h)
+        keys, live = sampler.band_keys(doc, h, count, inverse_frequency(df, n), batch.num_rows)
         ends = np.concatenate(([0], np.cumsum(np.where(live, sampler.bands, 0)))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[live].reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), lists], names=["doc_id", "digest", "bands"])
+        df, at = df.astype(np.uint32), np.searchsorted(doc, np.arange(batch.num_rows + 1))
+        packed = pa.array([df[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+        out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), lists, packed], names=names))
+    return pa.Table.from_batches(out)
+
+
+def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> tuple[DataFrame, int]:
+    """doc_id, digest, bands and df of every row with a text, weighted by the document frequencies of all rows, and the number of texts."""
+    spark = docs.sparkSession
+    p = parallelism(spark)
+    n, total = docs.filter("text is not null").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = max(p, -(-total // BUCKET_BYTES))
+    bits = (max(p, -(-total // RANGE_BYTES)) - 1).bit_length()
+    sampler = spark.sparkContext.broadcast(Sampler(float(inverse_frequency(1, n)), bands, rows))  # tables of a fixed size
+    named = docs.filter("text <> ''").select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
+    dealt = named.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)).cast("int")).repartition(p, "bucket")
+    sent = dealt.sortWithinPartitions("bucket").mapInArrow(lambda it: _ranged(it, size, bits), "range int, bucket int, h binary, n binary")
+    shared = sent.repartition(p, "range").sortWithinPartitions("range").mapInArrow(_shared, "bucket int, h binary, n binary")
+    pairs = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket"))
+    return pairs.applyInArrow(lambda t, s: _signatures(t, s, sampler.value, size, n), SIGNED), n
 
 
 def weighted_sets(texts: list[str | None], size: int, weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -177,6 +192,14 @@ def weighted_sets(texts: list[str | None], size: int, weights: Weights) -> list[
     return [(h[a:b], w[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def counted_sets(texts: list[str], dfs: list[bytes], size: int, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted shingle hashes and weights of each text, from the document frequencies of its distinct shingles."""
+    doc, h, count = counted(texts, size)
+    w = inverse_frequency(np.frombuffer(b"".join(dfs), np.uint32), n) * count
+    at = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [(h[a:b], w[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity: sum of minima over sum of maxima; 0 if either is empty."""
     if not len(a[0]) or not len(b[0]):
@@ -187,15 +210,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / (a[1].sum() + b[1].sum() - low))
 
 
-def _to_leader(batches: Iterable[pa.RecordBatch], size: int, weights: Weights) -> Iterator[pa.RecordBatch]:
+def _to_leader(batches: Iterable[pa.RecordBatch], size: int, n: int) -> Iterator[pa.RecordBatch]:
     """Distance of each member to its group's smallest member."""
     last, leader = None, None
     for batch in small_batches(batches, 4 << 20):
-        sets = weighted_sets(batch.column("text").to_pylist(), size, weights)
+        sets = counted_sets(batch.column("text").to_pylist(), batch.column("df").to_pylist(), size, n)
         out = []
         for comp, s, row in zip(batch.column("comp").to_pylist(), sets, range(batch.num_rows), strict=True):
             if comp != last:
-                last, leader = comp, weighted_sets([batch.column("leader")[row].as_py()], size, weights)[0]
+                last, leader = comp, counted_sets([batch.column("leader")[row].as_py()], [batch.column("leader_df")[row].as_py()], size, n)[0]
             out.append(1 - similarity(s, leader))
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("comp"), batch.column("bytes"), pa.array(out, pa.float64())], names=["node", "comp", "bytes", "d"])
 
@@ -230,15 +253,15 @@ def links_among(nodes: np.ndarray, d: np.ndarray, sets: list[tuple[np.ndarray, n
     return links
 
 
-def _verify(batches: Iterable[pa.RecordBatch], size: int, weights: Weights, threshold: float) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterable[pa.RecordBatch], size: int, n: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for g in groups(batches, ["comp", "bi", "bj"]):
-        sets = weighted_sets(g.column("text").to_pylist(), size, weights)
+        sets = counted_sets(g.column("text").to_pylist(), g.column("df").to_pylist(), size, n)
         found = links_among(g.column("node").to_numpy(), g.column("d").to_numpy(), sets, threshold)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["u", "v"])
 
 
-def near_duplicate_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4, common: float = 0.01, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the smallest id reachable by links) and kept (doc_id = class_id) for every row.
 
     Documents link if their texts are equal and not empty, or if the weighted Jaccard
@@ -251,25 +274,24 @@ def near_duplicate_documents(docs: DataFrame, threshold: float = 0.8, size: int
     spark = docs.sparkSession
     p = parallelism(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    weights = shingle_weights(base, size, common)
-    sampler = spark.sparkContext.broadcast(Sampler(weights, bands, rows))  # tables of a fixed size, and the frequent shingles
+    found, n = signatures(base, size, bands, rows)
+    signed = stored(found.filter("doc_id is not null"), "signatures")
     live = base.filter("doc_id is not null and text <> ''").withColumn("digest", F.unhex(F.md5("text")))
-    signed = stored(live.select("doc_id", "digest", "text").mapInArrow(lambda it: _signatures(it, sampler.value, size), "doc_id long, digest binary, bands array<long>"), "signatures")
     classes = signed.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    first = signed.join(classes, "digest").filter("doc_id = node").select("node", "digest", "bands")
+    first = signed.join(classes, "digest").filter("doc_id = node").select("node", "digest", "bands", "df")
     heads = stored(first.dropDuplicates(["digest"]), "heads")
     # pointers to the smallest member of each bucket; minima are partial before the shuffle
     band = heads.select("node", F.posexplode("bands").alias("band", "key"))
     least = band.groupBy("band", "key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     pointers = band.join(least, ["band", "key"]).filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
     comps = connected_components(pointers).withColumnRenamed("component", "comp")
-    wanted = cut(comps.join(heads.select("node", F.col("digest").alias("own")), "node"))
+    wanted = cut(comps.join(heads.select("node", F.col("digest").alias("own"), "df"), "node"))
     texts = maybe_among(live.select(F.col("doc_id").alias("node"), "text", "digest"), "node", wanted, "maybe").filter("maybe")
     grouped = texts.join(wanted, "node").filter("digest = own")
-    members = stored(grouped.select("node", "comp", "digest", "text").dropDuplicates(["node", "digest"]), "candidates")
-    leaders = members.filter("node = comp").select("comp", F.col("text").alias("leader"))
-    led = members.filter("node <> comp").join(leaders, "comp").select("node", "comp", "text", "leader", F.octet_length("text").cast("long").alias("bytes"))
-    far = stored(led.mapInArrow(lambda it: _to_leader(it, size, sampler.value.weights), "node long, comp long, bytes long, d double"), "leader-distances")
+    members = stored(grouped.select("node", "comp", "digest", "text", "df").dropDuplicates(["node", "digest"]), "candidates")
+    leaders = members.filter("node = comp").select("comp", F.col("text").alias("leader"), F.col("df").alias("leader_df"))
+    led = members.filter("node <> comp").join(leaders, "comp").select("node", "comp", "text", "df", "leader", "leader_df", F.octet_length("text").cast("long").alias("bytes"))
+    far = stored(led.mapInArrow(lambda it: _to_leader(it, size, n), "node long, comp long, bytes long, d double"), "leader-distances")
     reach = 1 - threshold + 1e-9
     near = far.filter(F.col("d") <= reach).select(F.col("node").alias("u"), F.col("comp").alias("v"))
     open_ = far.filter(F.col("d") > reach).groupBy("comp").agg(F.min("d").alias("least"))
@@ -277,9 +299,9 @@ def near_duplicate_documents(docs: DataFrame, threshold: float = 0.8, size: int
     size_of = left.groupBy("comp").agg(F.sum("bytes").alias("all"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     blocks = left.join(size_of, "comp").withColumn("nb", F.ceil(F.col("all") / block_bytes).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("node", "comp", "d", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj")).join(members.select("node", "text"), "node")
+    dealt = dealt.select("node", "comp", "d", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj")).join(members.select("node", "text", "df"), "node")
     placed = dealt.repartition(p, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "d", "node")
-    inner = placed.mapInArrow(lambda it: _verify(it, size, sampler.value.weights, threshold), "u long, v long")
+    inner = placed.mapInArrow(lambda it: _verify(it, size, n, threshold), "u long, v long")
     final = connected_components(near.unionByName(inner))
     known = heads.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     classed = signed.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id")

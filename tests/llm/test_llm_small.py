@@ -159,6 +159,21 @@ def test_near_documents_match_brute_force(spark):
     assert neardup_minhash.near_duplicate_documents(df.limit(0)).count() == 0
 
 
+def test_documents_link_by_exact_frequencies(spark):
+    # phrases that a few texts share weigh less than what a text has to itself, whatever the share of texts that have them
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    docs = [" ".join(word() for _ in range(20)) for _ in range(450)]
+    for _ in range(12):
+        base = [word() for _ in range(100)]
+        docs += [" ".join(base)] * 3 + [" ".join(base[: 100 - n]) + " " + " ".join(word() for _ in range(n)) for n in (9, 10, 11)]
+    docs = list(enumerate(docs))
+    want, floored = brute_documents(docs, common=0.0), brute_documents(docs)
+    assert want != floored
+    got = dict(rows(neardup_minhash.near_duplicate_documents(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "class_id"))
+    assert got == want
+
+
 def test_links_reach_every_component():
     one, two = np.array([1, 2, 3, 4, 5], np.uint64), np.array([2, 3, 4, 5, 6], np.uint64)
     sets = [(s, np.ones(5)) for s in (one, two, one)]
