@@ -5,7 +5,8 @@ sink, whose line separator is set to the zero byte that every member ends with,
 the bytes on storage are the members one after the other and any storage that Spark can
 write will do. The reader takes archives from Spark's binary source, checks each member
 and record, and after a failed check searches for the next gzip member or version line
-that starts a valid record. What lies between is logged as a quarantined gap.
+that starts a valid record, inside the content of a member too. What lies between is logged
+as a quarantined gap.
 """
 
 from __future__ import annotations
@@ -102,55 +103,96 @@ def parse(data: bytes, at: int) -> tuple[Record | None, str]:
     return Record(at, stop + 4 - at, headers.get("warc-type", ""), None, headers, block), ""
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes | None, int, str]:
-    """Content and compressed length of the gzip member at ``at``, its checksum verified."""
-    d = zlib.decompressobj(wbits=31)
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """Content and compressed length of the gzip member at ``at``; with a reason, what came out of it before it failed a check."""
+    d, out, pos = zlib.decompressobj(wbits=31), [], at
     try:
-        out, pos = [], at
         while not d.eof and pos < len(data):
             out.append(d.decompress(data[pos : pos + 65536]))
             pos += 65536
     except zlib.error as e:
-        return None, 0, f"gzip: {e}"
+        # once more, byte by byte where it fails, as the failing call returns nothing
+        d, out, stop = zlib.decompressobj(wbits=31), [], pos
+        for p in range(at, stop, 65536):
+            out.append(d.decompress(data[p : p + 65536]))
+        try:
+            while pos < len(data):
+                out.append(d.decompress(data[pos : pos + 1]))
+                pos += 1
+        except zlib.error:
+            pass
+        return b"".join(out), pos - at, f"gzip: {e}"
     if not d.eof:
-        return None, 0, "gzip member is cut off"
+        return b"".join(out), len(data) - at, "gzip member is cut off"
     return b"".join(out), min(pos, len(data)) - len(d.unused_data) - at, ""
 
 
+def _within(inner: bytes, at: int, length: int) -> tuple[list[Record], str]:
+    """Valid records of the content of the member at ``at``, gaps between them, and why the first gap is one; nothing if no record is valid."""
+    found, pos, lost, reason, first = [], 0, None, "", ""
+    gap = lambda end: Record(at, length, "gap", f"{reason} (bytes {lost} to {end} of the member's content)")
+    while pos < len(inner):
+        r, why = parse(inner, pos)
+        if r is None:
+            if lost is None:
+                lost, reason, first = pos, why, first or why
+            following = VERSION.search(inner, pos + 1)
+            pos = following.start() if following else len(inner)
+            continue
+        if lost is not None:
+            found.append(gap(pos))
+            lost = None
+        pos += r.length
+        r.offset, r.length = at, length
+        found.append(r)
+    if lost is not None and found:
+        found.append(gap(len(inner)))
+    return found, first
+
+
 def _step(data: bytes, at: int) -> tuple[list[Record], int, str]:
-    """Records at ``at`` and where they end; no records and a reason if a check fails."""
+    """Records at ``at`` and where they end; with a reason those that a damaged member gave before it failed, if any, and ``at``."""
     if data.startswith(MAGIC, at):
-        inner, length, why = _inflate(data, at)
-        if inner is None:
-            return [], at, why
-        found, pos = [], 0
-        while pos < len(inner):
-            r, why = parse(inner, pos)
-            if r is None:
-                return [], at, why
-            pos += r.length
-            r.offset, r.length = at, length
-            found.append(r)
+        inner, length, broken = _inflate(data, at)
+        found, why = _within(inner, at, length)
+        if broken or inner and not found:
+            return found, at, broken or why
         return found, at + length, ""
     r, why = parse(data, at)
     return ([r], at + r.length, "") if r else ([], at, why)
 
 
 def salvage(data: bytes) -> Iterator[Record]:
-    """All valid records of an archive, and a gap for each run of bytes that none covers."""
+    """All valid records of an archive, and a gap for each run of bytes that none covers.
+
+    A record of a gzip member has the member's offset and length. A damaged record inside a
+    member with others is a gap with that offset and length, whose reason names the bytes
+    of the content. What a damaged member gives before it fails comes before its gap.
+    """
     at, lost, reason = 0, None, ""
+    taken, limit = [], 0  # records of the last damaged member, and how far it was read
     while at < len(data):
         if lost is None and data[at] == 0:  # padding between members
             at += 1
             continue
         found, end, why = _step(data, at)
         if end > at:
+            # a member that stores without packing shows its records to the search once more
+            if at < limit and found and not data.startswith(MAGIC, at) and any(found[0].headers == r.headers and found[0].block == r.block for r in taken):
+                at = end
+                continue
             if lost is not None:
                 yield Record(lost, at - lost, "gap", reason)
                 lost = None
             yield from found
             at = end
             continue
+        if found:
+            if lost is not None:
+                yield Record(lost, at - lost, "gap", reason)
+                lost = None
+            yield from found
+            taken, limit = found, at + found[0].length
         if lost is None:
             lost, reason = at, why
         following = START.search(data, at + 1)

@@ -1,5 +1,6 @@
 """Edge cases, brute force and round trips of the training-data operators on small tables."""
 
+import gzip
 import math
 import random
 
@@ -241,6 +242,24 @@ def test_salvage_recovers_later_records():
     assert list(warc.salvage(b"")) == [] and [r.kind for r in warc.salvage(b"noise" * 10)] == ["gap"]
 
 
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_searches_inside_members(level):
+    r = random.Random(1)
+    recs = [warc.record("response", i, f"http://h/{i}", bytes(r.choices(b"abcdefgh", k=40_000)), None) for i in range(6)]
+    ids = lambda data: [r.headers["warc-record-id"][12:-1] for r in warc.salvage(data) if r.headers]
+    gaps = lambda data: [r for r in warc.salvage(data) if r.kind == "gap"]
+    bad = bytearray(b"".join(recs))
+    bad[len(recs[0]) + len(recs[1]) + 600] ^= 1
+    one = gzip.compress(bytes(bad), level)
+    assert ids(one) == list("01345") and len(gaps(one)) == 1 and "digest" in gaps(one)[0].reason
+    whole = gzip.compress(b"".join(recs), level)
+    cut = whole[: len(whole) * 3 // 4]
+    assert ids(cut) == list("0123") and gaps(cut)[-1].reason == "gzip member is cut off"
+    crc = bytearray(whole)
+    crc[-6] ^= 1
+    assert ids(bytes(crc) + gzip.compress(recs[0])) == list("0123450") and "gzip" in gaps(bytes(crc))[-1].reason
+
+
 def test_revisit_fields():
     r, why = warc.parse(warc.record("revisit", 5, "http://a/", b"abc", 2), 0)
     assert not why and r.headers["warc-refers-to"] == "<urn:x-page:2>" and b"Content-Length: 3" in r.block and not r.block.endswith(b"abc")
