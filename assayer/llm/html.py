@@ -35,8 +35,12 @@ IMPLIED = {
 HEAD_ONLY = frozenset("base basefont bgsound link meta title script style noscript template head html".split())
 SCOPE = frozenset("table td th caption button object html".split())
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"<]*"|'[^'<]*'|[^<>"'])*+)>|<!--(.*?)(?:--!?>|\Z)|<[!?/][^>]*>|([^<]+)|<""", re.S)
+#: Where a tag that never ends makes the search for its end fail, the rest of the page is read by this pattern, which keeps tags short.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"<]*"|'[^'<]*'|[^<>"'])*+)>|<!--(.*?)(?:--!?>|\Z)|<[!?/][^>]*>|([^<]+)|<""", re.S)
 ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: The end of a tag, or an attribute; a quote opens a value only after the equals sign, and an open one at the end of input sets the last group.
+STEP = re.compile(r"""([\s/]*+)(?:(>)|(=?[^\s/>=]++|=)(?:\s*+=\s*+(?:"([^"]*+)(?:"|(\Z))|'([^']*+)(?:'|(\Z))|([^\s>"'][^\s>]*+|(?=>)|\Z)))?)""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -55,6 +59,22 @@ def _attrs(text: str) -> dict[str, str]:
     return out
 
 
+def _tag_end(source: str, at: int) -> tuple[dict[str, str], bool, int] | None:
+    """Attributes, whether a slash ends them, and the end of the tag whose name ends at ``at``; None if the input ends before."""
+    if source.startswith(">", at):
+        return {}, False, at + 1
+    out: dict[str, str] = {}
+    while m := STEP.match(source, at):
+        at = m.end()
+        if m[2]:
+            return out, m[1].endswith("/"), at
+        if m[5] is not None or m[7] is not None:
+            return None
+        value = m[4] or m[6] or m[8] or ""
+        out.setdefault(m[3].lower(), html.unescape(value) if "&" in value else value)
+    return None
+
+
 class Builder:
     """Builds the tree of a document; open elements are a chain of parents, so depth costs no recursion."""
 
@@ -133,16 +153,23 @@ class Builder:
 def build(source: str) -> Node:
     b, at, n = Builder(), 0, len(source)
     raw_ends: dict[str, re.Pattern] = {}
+    endless = False
     while at < n:
-        m = TAG.match(source, at)
-        at = m.end()
+        m = None if endless else OPEN.match(source, at)
+        got = _tag_end(source, m.end()) if m else None
+        endless |= bool(m) and got is None
+        if got is None:
+            m = TAG.match(source, at)
+            at = m.end()
         if m[2]:
             tag = m[2].lower()
+            if got is None:
+                got = _attrs(m[3]) if m[3].strip(" \t\n\r\f/") else {}, m[3].endswith("/"), at
+            attrs, empty, at = got
             if m[1]:
                 b.end(tag)
                 continue
-            rest = m[3]
-            b.start(tag, _attrs(rest) if rest.strip(" \t\n\r\f/") else {}, rest.endswith("/"))
+            b.start(tag, attrs, empty)
             if tag in RAW and b.at.tag == tag:
                 closing = raw_ends.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I))
                 end = closing.search(source, at)

@@ -3,6 +3,7 @@
 import gzip
 import math
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -293,6 +294,28 @@ def test_html_layout(source, text):
     assert html.extract(source) == text
 
 
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ('a<div hidden data-x="<b>">secret</div>b', "ab"),
+        ('<table><tr><td title="a<b">x<td>y</table>', "x | y"),
+        ("<p style='display:none' data-j='<i>'>no</p>yes", "yes"),
+        ("<p title=don't>it's</p>", "it's"),
+        ('<p title="a>b" / id=x>c', "c"),
+        ('<b>x</b> <a href="y', 'x <a href="y'),
+    ],
+)
+def test_html_quotes_may_hold_markup(source, text):
+    assert html.extract(source) == text
+
+
+def test_html_tags_without_end_stay_cheap():
+    for page in ('<a href="' * 100_001 + "> end", "<a" * 100_000 + '="> end', "<a b='\"" * 50_000 + "> end"):
+        began = time.time()
+        html.extract(page)
+        assert time.time() - began < 10
+
+
 def test_html_of_hostile_pages():
     assert html.extract("<div>" * 30_000 + "deep") == "deep"
     assert "end" in html.extract('<a href="' * 3000 + "> end")
