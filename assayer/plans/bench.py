@@ -228,7 +228,7 @@ def _table(rows: list[dict]) -> str:
         return "<p>empty</p>"
     cell = lambda v: html.escape(f"{v:.5g}" if isinstance(v, float) else str(v))
     head = "".join(f"<th>{html.escape(str(k))}</th>" for k in rows[0])
-    return f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r.values()) + "</tr>" for r in rows[:60]) + "</table>"
+    return f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r.values()) + "</tr>" for r in rows) + "</table>"
 
 
 def to_html(document: dict) -> str:

@@ -227,3 +227,7 @@ def test_load_keeps_parquet(spark, tmp_path):
     assert data.load(spark, "card_fraud", folder=str(tmp_path)).count() == 2
     with pytest.raises(ValueError, match="raw"):
         data.load(spark, "churn", folder=str(tmp_path))
+
+
+def test_report_tables_have_all_rows():
+    assert bench._table([{"level": f"v{i}"} for i in range(75)]).count("<td>") == 75
