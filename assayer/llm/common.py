@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -9,7 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 16 << 20
@@ -51,6 +52,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lowers the session's bound of an Arrow batch to ``most`` bytes, as rows hold whole texts and both ends keep a batch in memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if now <= 0 or now > most:
+        spark.conf.set(name, str(most))
+
+
+def with_groups(df: DataFrame, keys: list[str], aggs: list[Column], total: int | None = None, floor: int = 64) -> DataFrame:
+    """``df`` with the aggregates of the rows that share its ``keys`` (no nulls), where one group may hold most rows.
+
+    A group of more than ``floor`` rows and more than 1/4p of ``total`` (p shuffle
+    partitions; by default the number of rows, else a bound of it) gets its one row of
+    aggregates by broadcast: there are less than 4p such groups in any table. All others
+    are joined on the keys. ``df`` is read more than once, so it should be stored.
+    """
+    p = parallelism(df.sparkSession)
+    over = max(floor, (df.count() if total is None else total) // (4 * p))
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *aggs).select(*[F.col(k).alias(f"__{k}") for k in keys], "*").drop(*keys)
+    found = [c for c in stats.columns if not c.startswith("__")]
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    flagged = df.join(F.broadcast(stats.filter(F.col("__n") > over)), same, "left")
+    hot = flagged.filter("__n is not null").select(*df.columns, *found)
+    cold = flagged.filter("__n is null").select(*df.columns).join(stats.filter(F.col("__n") <= over), same).select(*df.columns, *found)
+    return hot.unionByName(cold)
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about ``limit`` bytes, so that long texts don't pile up."""
     for batch in batches:
@@ -60,6 +88,15 @@ def small_batches(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -
             yield batch.slice(at, step)
 
 
+def rest() -> None:
+    """Gives memory that a task has used back to the system: a worker process lives on, and the next stage counts what it holds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def runs(*columns: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values in sorted columns, and the length at the end."""
     n = len(columns[0])

@@ -341,7 +341,7 @@ SAMPLES = ["", " ", "  a  b ", "Hello world", "naïve café — ½", "日本語
 def test_encoding_equals_the_library(model, sf):
     import sentencepiece
 
-    lib, own = sentencepiece.SentencePieceProcessor(model_proto=model), wfst.Tokenizer(model, cache_size=50)
+    lib, own = sentencepiece.SentencePieceProcessor(model_proto=model), wfst.Tokenizer(model)
     texts = SAMPLES + [r[0] for r in duckdb.sql(f"select text from '{sf}/documents.parquet'").fetchall()]
     for t in texts:
         ids = own.encode(t)
