@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import small_batches
+from assayer.llm.common import lean, rest, small_batches
 from assayer.llm.words import grams, tokens
 
 #: Bounds of the fitted sample.
@@ -174,6 +174,7 @@ def _score(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         text = batch.column(batch.num_columns - 1)
         scores = pa.array(model.scores(text.to_pylist()), pa.float64())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], "score"])
+    rest()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = 18, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
@@ -189,6 +190,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_co
     stays null and counts as held out, other columns are not carried, an empty table gives
     an empty table.
     """
+    lean(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -198,6 +200,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_co
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least ``threshold``."""
+    lean(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -205,5 +208,6 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
         for batch in small_batches(batches, 2 << 20):
             texts = batch.column(names.index(text_col)).to_pylist()
             yield batch.filter(pa.array(sent.value.scores(texts) >= threshold, pa.bool_()))
+        rest()
 
     return docs.mapInArrow(keep, docs.schema)
