@@ -19,7 +19,15 @@ DIGITS = 3  # 4096 buckets
 
 def hashed(id_col: str, seed: int) -> Column:
     """md5 of 'seed:id' in hexadecimal; the same text in any engine."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+
+
+def _rows(df: DataFrame, id_col: str) -> int:
+    """Number of rows; rows without an id are refused, as nothing would fix their fold."""
+    n, known = df.agg(F.count(F.lit(1)), F.count(F.col(id_col))).first()
+    if known < n:
+        raise ValueError(f"{id_col} is missing in {n - known} of {n} rows; fill or drop them")
+    return n
 
 
 def _check_k(k: int, n: int, what: str) -> None:
@@ -52,20 +60,20 @@ def _even(rank: Column, n: int, k: int) -> Column:
 
 def kfold(df: DataFrame, id_col: str, k: int = 5, seed: int = 0) -> DataFrame:
     """``df`` with fold: random folds of even size."""
-    n = df.count()
+    n = _rows(df, id_col)
     _check_k(k, n, "rows")
     return hash_rank(df, id_col, seed).withColumn("fold", _even(F.col("__rank"), n, k)).drop("__rank")
 
 
 def stratified(df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
     """``df`` with fold: every class is dealt round, from a start that its hash gives."""
-    _check_k(k, df.count(), "rows")
+    _check_k(k, _rows(df, id_col), "rows")
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(label).cast("string"), F.lit("null"))).cast("binary")), 1, 6), 16, 10).cast("long")
     return hash_rank(df, id_col, seed, by=label).withColumn("fold", F.pmod(F.col("__rank") + start, F.lit(k)).cast("int")).drop("__rank")
 
 
 def grouped(df: DataFrame, group: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """``df`` with fold: all rows of a group share one."""
+    """``df`` with fold: all rows of a group share one; rows without a group are one group."""
     names = df.select(F.col(group).alias("__g")).distinct()
     n = names.count()
     _check_k(k, n, f"groups of {group}")

@@ -8,12 +8,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.functions.family import Family, column
+from assayer.functions.family import ARRAYS, Family, column
 from assayer.functions.validate import Rule, check, finite, inputs
 from assayer.operators import ordered
 from assayer.operators.metrics import Name, ratio, weighted_quantiles
 
 NAN = float("nan")
+#: Most levels of a feature on the axis of a table; more are refused, as an axis is listed whole.
+MAX_LEVELS = 10_000
 
 
 def _cell(w: Column, y: Column, mu: Column) -> list[Column]:
@@ -121,9 +123,11 @@ def feature_axis(df: DataFrame, feature: str, weight: Name | None, bins: int, na
     numeric = dict(df.dtypes)[feature] not in ("string",)
     spark = df.sparkSession
     if not numeric:
-        rows = [r[0] for r in df.select(feature).distinct().orderBy(feature).collect()]
+        rows = [r[0] for r in df.select(feature).distinct().orderBy(feature).limit(MAX_LEVELS + 1).collect()]
+        if len(rows) > MAX_LEVELS:
+            raise ValueError(f"{feature} has more than {MAX_LEVELS} levels; pool the rare ones, or use the categorical profile, which does")
         axis = spark.createDataFrame(list(enumerate(rows)), f"{name} int, label string")
-        return df.join(F.broadcast(axis.withColumnRenamed("label", "__level")), F.col(feature) == F.col("__level")).drop("__level"), axis
+        return df.join(F.broadcast(axis.withColumnRenamed("label", "__level")), F.col(feature).eqNullSafe(F.col("__level"))).drop("__level"), axis
     binned = bin_index(df, feature, weight, bins).withColumnRenamed("bin", name)
     ends = binned.groupBy(name).agg(F.min(column(feature)).alias("lo"), F.max(column(feature)).alias("hi")).orderBy(name).collect()
     text = [f"[{r['lo']:.4g}, {ends[i + 1]['lo']:.4g})" if i + 1 < len(ends) else f"[{r['lo']:.4g}, {r['hi']:.4g}]" for i, r in enumerate(ends)]
@@ -152,7 +156,8 @@ def ae_by_two(df: DataFrame, a: str, b: str, y: Name, mu: Name, weight: Name | N
     """Actual over expected on the grid of two features; ``thin`` marks cells below the weight floor."""
     t, m, w = column(y), column(mu), column(weight)
     if check_inputs:
-        check(df, inputs(t, m, w, positive_weight=True), w)
+        missing = [Rule(F.col(f).isNull(), f"{f} is missing", "fill or drop those rows") for f in (a, b)]
+        check(df, inputs(t, m, w, positive_weight=True) + missing, w)
     one, axis_a = feature_axis(df, a, weight, bins, "position_a")
     two, axis_b = feature_axis(one, b, weight, bins, "position_b")
     na, nb = axis_a.count(), axis_b.count()
@@ -162,27 +167,35 @@ def ae_by_two(df: DataFrame, a: str, b: str, y: Name, mu: Name, weight: Name | N
     return grid.join(F.broadcast(axis_a.withColumnRenamed("label", "label_a")), "position_a").join(F.broadcast(axis_b.withColumnRenamed("label", "label_b")), "position_b")
 
 
-def interaction_strength(grid: DataFrame, rounds: int = 100) -> float:
-    """Poisson deviance per weight between the cells' actuals and the best margins-only correction of the expected.
+def margin_fit(expected: np.ndarray, rows: np.ndarray, cols: np.ndarray, close: float = 1e-11, most: int = 500) -> np.ndarray:
+    """``expected`` times a factor for each row and one for each column, so that its margins are ``rows`` and ``cols``.
 
-    The grid has at most bins x bins cells and comes to the driver.
+    The factors are fitted in turn until the margin fitted before still holds.
     """
-    rows = grid.select("position_a", "position_b", "weight", "actual", "predicted").collect()
-    shape = max(r[0] for r in rows) + 1, max(r[1] for r in rows) + 1
-    w, a, e = np.zeros(shape), np.zeros(shape), np.zeros(shape)
-    for i, j, weight, actual, predicted in rows:
-        w[i, j], a[i, j], e[i, j] = weight, np.nan_to_num(weight * actual), np.nan_to_num(weight * predicted)
-    f = e.copy()
-    scale = lambda want, got: np.divide(want, got, out=np.zeros_like(want), where=got > 0)
-    for _ in range(rounds):
-        before = f.copy()
-        f = f * scale(a.sum(1), f.sum(1))[:, None]
-        f = f * scale(a.sum(0), f.sum(0))[None, :]
-        if np.abs(f - before).max(initial=0) <= 1e-12 * max(1.0, a.sum()):
+    inverse = lambda want, now: np.where(now > 0, want / np.where(now > 0, now, 1), 0.0)
+    right = np.ones(expected.shape[1])
+    for _ in range(most):
+        left = inverse(rows, expected @ right)
+        right = inverse(cols, left @ expected)
+        if np.abs(left * (expected @ right) - rows).sum() <= close * rows.sum():
             break
-    both = (a > 0) & (f > 0)
-    logs = np.where(both, a * (np.log(np.where(both, a, 1)) - np.log(np.where(both, f, 1))), 0)
-    return float(max(2 * (logs - (a - f)).sum(), 0) / w.sum())
+    return left[:, None] * expected * right[None, :]
+
+
+def interaction_strength(grid: DataFrame) -> float:
+    """What two features add together: Poisson deviance per weight of the cells' actuals around the best correction
+    of the expected by a factor for each level of either. The grid has at most bins x bins cells and comes to the driver.
+    """
+    cells = grid.select("position_a", "position_b", "weight", F.nanvl(F.col("weight") * F.col("actual"), F.lit(0.0)).alias("a"), F.nanvl(F.col("weight") * F.col("predicted"), F.lit(0.0)).alias("e")).toPandas()
+    if not cells["weight"].sum() > 0:
+        raise ValueError("the grid has no weight; an interaction needs rows with weight in its cells")
+    wide = lambda c: cells.pivot(index="position_a", columns="position_b", values=c).fillna(0.0).to_numpy()
+    w, actual = wide("weight"), wide("a")
+    fitted = margin_fit(wide("e"), actual.sum(1), actual.sum(0))
+    on = (w > 0) & (fitted > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        unit = Family.of("poisson").unit_deviance(actual[on] / w[on], fitted[on] / w[on], ARRAYS)
+    return float(max((w[on] * unit).sum(), 0.0) / w.sum())
 
 
 def rank_pairs(grids: dict[tuple[str, str], DataFrame]) -> list[tuple[str, str, float]]:
@@ -220,12 +233,12 @@ def win_sets(df: DataFrame, y: Name, predictions: Sequence[Name], weight: Name |
 
 
 def _edges(df: DataFrame, v: Column, w: Column, bins: int, tail: float) -> list[float]:
-    """Even edges from the smallest value to a high quantile, and one bin for the tail."""
+    """``bins`` even bins from the smallest value to a high quantile, and one more for the tail."""
     lo, hi = df.agg(F.min(v), F.max(v)).first()
     top = weighted_quantiles(df, v, [tail], w, False).first()["value"]
     if not lo < top < hi:
         return (np.linspace(lo - 0.5, hi + 0.5, bins + 1) if lo == hi else np.linspace(lo, hi, bins + 1)).tolist()
-    return [*np.linspace(lo, top, bins).tolist(), hi]
+    return [*np.linspace(lo, top, bins + 1).tolist(), hi]
 
 
 def histogram(df: DataFrame, value: Name, weight: Name | None = None, bins: int = 40, tail: float = 0.99, check_inputs: bool = True) -> DataFrame:

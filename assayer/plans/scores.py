@@ -143,8 +143,8 @@ add("profile_categorical", lambda s, d: rate(s, d).withColumn("level", F.concat(
     f"SELECT CASE WHEN i > 20 THEN '(other: ' || (c - 20)::VARCHAR || ' levels)' ELSE level END AS level, sum(n)::BIGINT AS n_rows, {R('sum(w)')} AS weight, {R('sum(wy) / sum(w)')} AS actual FROM r GROUP BY 1")
 _EDGES = f"WITH s AS ({RATE}), g AS (SELECT quantity AS k, sum(w) AS w FROM s GROUP BY 1), c AS (SELECT k, sum(w) OVER (ORDER BY k) / sum(w) OVER () AS share FROM g), e AS (SELECT min(quantity) AS lo, (SELECT min(k) FROM c WHERE share >= 0.9) AS top FROM s), "
 _H = "h AS (SELECT CASE WHEN quantity >= top THEN {last} ELSE floor((quantity - lo) / (top - lo) * {last})::INT END AS bin, * FROM s, e) "
-add("histogram", rate, lambda df: t.histogram(df, "quantity", "w", 12, 0.9).select("bin", "n_rows", "weight"), _EDGES + _H.format(last=11) + f"SELECT i::INT AS bin, count(bin) AS n_rows, {R('coalesce(sum(w), 0)')} AS weight FROM range(12) r(i) LEFT JOIN h ON bin = i GROUP BY i")
-add("profile_numeric", rate, lambda df: t.numeric_profile(df, "quantity", "y", "w", 12, 0.9).select("bin", "n_rows", "weight", "actual"), _EDGES + _H.format(last=11) + f"SELECT i::INT AS bin, count(bin) AS n_rows, {R('coalesce(sum(w), 0)')} AS weight, {R('sum(w * y) / sum(w)')} AS actual FROM range(12) r(i) LEFT JOIN h ON bin = i GROUP BY i")
+add("histogram", rate, lambda df: t.histogram(df, "quantity", "w", 12, 0.9).select("bin", "n_rows", "weight"), _EDGES + _H.format(last=12) + f"SELECT i::INT AS bin, count(bin) AS n_rows, {R('coalesce(sum(w), 0)')} AS weight FROM range(13) r(i) LEFT JOIN h ON bin = i GROUP BY i")
+add("profile_numeric", rate, lambda df: t.numeric_profile(df, "quantity", "y", "w", 12, 0.9).select("bin", "n_rows", "weight", "actual"), _EDGES + _H.format(last=12) + f"SELECT i::INT AS bin, count(bin) AS n_rows, {R('coalesce(sum(w), 0)')} AS weight, {R('sum(w * y) / sum(w)')} AS actual FROM range(13) r(i) LEFT JOIN h ON bin = i GROUP BY i")
 add("summary", rate, lambda df: t.summary(df, "quantity", "w"),
     f"WITH s AS ({RATE}), g AS (SELECT quantity AS k, sum(w) AS w FROM s GROUP BY 1), c AS (SELECT k, sum(w) OVER (ORDER BY k) / sum(w) OVER () AS share FROM g), a AS (SELECT sum(w * quantity) / sum(w) AS m FROM s) SELECT {R('max(m)')} AS mean, min(quantity) AS min, max(quantity) AS max, {R('sum(CASE WHEN quantity = 0 THEN w ELSE 0 END) / sum(w)')} AS zero_share, {R('sqrt(sum(w * (quantity - m) ** 2) / sum(w))')} AS std, "
     + ", ".join(f"(SELECT min(k) FROM c WHERE share >= {p}) AS {n}" for n, p in (("q05", 0.05), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q95", 0.95))) + " FROM s, a")
