@@ -17,6 +17,10 @@ from assayer.operators import ordered
 from assayer.operators.splits import hash_rank
 
 
+#: Most levels of a factor whose indicators are design columns; more are refused, as passes return squares of the number of columns.
+MAX_LEVELS = 2000
+
+
 def _refuse_missing(df: DataFrame, name: str) -> None:
     n = df.filter(F.col(name).isNull()).count()
     if n:
@@ -34,19 +38,23 @@ class OneHot:
 
     def fit(self, df: DataFrame, weight: str | None = None, y: str | None = None) -> OneHot:
         _refuse_missing(df, self.name)
-        self.levels = sorted(r[0] for r in df.select(F.col(self.name).cast("string")).distinct().collect())
+        found = df.select(F.col(self.name).cast("string")).distinct().limit(MAX_LEVELS + 1).collect()
+        if len(found) > MAX_LEVELS:
+            raise ValueError(f"{self.name} has more than {MAX_LEVELS} levels; a design holds a column for each: encode it by its target, or pool levels")
+        self.levels = sorted(r[0] for r in found)
         if len(self.levels) < 2:
             raise ValueError(f"{self.name} has {len(self.levels)} level; an indicator needs at least 2")
         return self
 
     def columns(self) -> list[tuple[str, Column]]:
-        return [(f"{self.name}={v}", (F.col(self.name).cast("string") == v).cast("double")) for v in self.levels[int(self.drop_first) :]]
-
-    def check(self, df: DataFrame) -> None:
+        """Indicators; the first one fails on missing and unseen levels, unless ``unknown`` is 'zero'."""
+        level = F.col(self.name).cast("string")
+        shown = self.levels[int(self.drop_first) :]
+        out = [(f"{self.name}={v}", F.coalesce((level == v).cast("double"), F.lit(0.0))) for v in shown]
         if self.unknown == "error":
-            new = [r[0] for r in df.filter(~F.col(self.name).cast("string").isin(self.levels)).select(self.name).distinct().limit(5).collect()]
-            if new:
-                raise ValueError(f"{self.name} has levels that were not seen in fitting: {', '.join(map(str, new))}; refit, or encode them as zeros")
+            told = F.concat(F.lit(f"{self.name} has a level that was not seen in fitting: "), F.coalesce(level, F.lit("(missing)")), F.lit("; refit, or encode unseen levels as zeros"))
+            out[0] = (out[0][0], F.when(level == shown[0], 1.0).when(level.isin(self.levels), 0.0).otherwise(F.raise_error(told).cast("double")))
+        return out
 
 
 @dataclass
@@ -88,6 +96,7 @@ class TargetEncode:
 
     Training rows get values from other folds, or with ``time`` from strictly earlier rows,
     so that no row sees its own y; new rows get the table, unseen levels the overall mean.
+    Rows without a level are refused.
     """
 
     name: str
@@ -95,6 +104,7 @@ class TargetEncode:
     inner: int = 5
     seed: int = 0
     prior: float = 0.0
+    time: str | None = None
     table: dict[str, float] = field(default_factory=dict)
 
     def fit(self, df: DataFrame, weight: str | None = None, y: str | None = None) -> TargetEncode:
@@ -117,8 +127,14 @@ class TargetEncode:
         found = F.try_element_at(F.create_map(*pairs), F.col(self.name).cast("string")) if pairs else F.lit(None)
         return [(self.name, F.coalesce(found, F.lit(self.prior)))]
 
+    def transform_training(self, df: DataFrame, y: str, id_col: str, weight: str | None = None) -> DataFrame:
+        """``df`` with __encoded, values for the rows that the encoder is fitted on."""
+        return self.past_only(df, y, self.time, id_col, weight) if self.time else self.out_of_fold(df, y, id_col, weight)
+
     def out_of_fold(self, df: DataFrame, y: str, id_col: str, weight: str | None = None) -> DataFrame:
         """``df`` with __encoded: sums of all folds less those of the row's own, one aggregate."""
+        _refuse_missing(df, self.name)
+        _refuse_missing(df, id_col)
         w, a = column(weight), column(y)
         n = df.count()
         ranked = hash_rank(df, id_col, self.seed)
@@ -140,6 +156,8 @@ class TargetEncode:
 
         Running sums are two-level over ranges of time, for the overall mean and for every level.
         """
+        _refuse_missing(df, self.name)
+        _refuse_missing(df, time)
         w, a = column(weight), column(y)
         bounds = ordered.ranges(df, F.col(time).cast("double"))
         d = df.withColumns({"__r": ordered.place(F.col(time).cast("double"), bounds), "__l": F.col(self.name).cast("string"), "__w": w, "__wy": w * a})

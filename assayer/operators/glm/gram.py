@@ -1,10 +1,10 @@
 """The passes over rows: cross products, gradients and deviances at given coefficients.
 
-A design is a DataFrame of (x array, y, w, offset). Each pass is one job: Arrow batches
-become matrices, a partition returns its sums, and partials are added in groups before the
-driver adds the last few. A design of at most ``LOCAL_CELLS`` numbers is fetched once and
-the same kernel runs on the driver, which saves a job a pass; a larger one never leaves
-the executors.
+A design is packed once into blocks of rows, matrices as bytes, that stay cached on the
+executors: a pass moves blocks and not rows between the JVM and Python. Each pass is one
+job for any number of requests (several folds, several penalties): a partition returns its
+sums for all of them, and partials are added in groups before the driver adds the last few.
+No row reaches the driver.
 """
 
 from __future__ import annotations
@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 
 from assayer.functions.family import ARRAYS, Family, Link
 
-LOCAL_CELLS = 4_000_000
 GROUPS = 32
+#: Bytes of a packed block, about.
+BLOCK = 4 << 20
+Fold = tuple[str, int] | None
+#: What a pass is asked for: a kernel method, its argument, and the fold that the rows are outside or inside of.
+Request = tuple[str, object, Fold]
 
 
 class Kernel:
@@ -66,82 +70,90 @@ class Kernel:
         wx = x * (w * slope**2 / v)[:, None]
         return [x.T @ wx, sx.T @ sx, np.array([(w * (y - mu) ** 2 / v).sum()]), np.array([(w * f.unit_deviance(y, mu, ARRAYS)).sum()])]
 
+    def weight(self, x, y, w, o, _) -> list[np.ndarray]:
+        return [np.array([w.sum()])]
+
     def gradient(self, x, y, w, o, beta) -> list[np.ndarray]:
         """Gradient of half the deviance."""
         eta, mu = self.mean(x, o, beta)
         return [-(x.T @ (w * (y - mu) * self.link.slope(eta, ARRAYS) / self.family.variance(mu, ARRAYS)))]
 
 
-def _add(parts: Iterable[list[np.ndarray]]) -> list[np.ndarray] | None:
-    total = None
-    for p in parts:
-        total = p if total is None else [a + b for a, b in zip(total, p, strict=True)]
-    return total
-
-
 def _quiet(kernel: Kernel, what: str, rows: tuple[np.ndarray, ...], args: tuple) -> list[np.ndarray]:
     """A kernel's sums; logs of 0 that a choice then drops don't warn."""
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         return getattr(kernel, what)(*rows, *args)
 
 
-def _matrices(batches: list[pa.RecordBatch], with_fold: bool) -> tuple[np.ndarray, ...]:
-    """Design, target, weight, offset and fold of some rows."""
-    t = pa.Table.from_batches(batches)
-    flat = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-    x = t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-    return x, flat("y"), flat("w"), flat("o"), flat("fold") if with_fold else np.zeros(t.num_rows)
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows: one matrix of design columns, target, weight, offset and fold."""
+    for batch in batches:
+        width = 4 + len(batch.column("x").flatten()) // max(batch.num_rows, 1)
+        step = max(1, BLOCK // (8 * width))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            flat = [part.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "o", "fold")]
+            x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int64()), pa.array([np.column_stack([x, *flat]).astype(float).tobytes()], pa.binary())], names=["n", "rows"])
+
+
+def _pick(rows: np.ndarray, fold: Fold, cols: list[int] | None) -> tuple[np.ndarray, ...]:
+    """Design, target, weight and offset of the rows outside or inside a fold; no columns mean a constant."""
+    if fold is not None:
+        rows = rows[rows[:, -1] != fold[1] if fold[0] == "out" else rows[:, -1] == fold[1]]
+    x = rows[:, :-4] if cols is None else rows[:, cols] if cols else np.ones((len(rows), 1))
+    return x, rows[:, -4], rows[:, -3], rows[:, -2]
 
 
 class Design:
-    """Rows of a fit, with a kernel to sum over them; ``fold`` limits a pass to rows outside or inside a fold."""
-
-    def __init__(self, df: DataFrame, names: list[str], kernel: Kernel, with_fold: bool = False) -> None:
-        self.names, self.kernel, self.with_fold = names, kernel, with_fold
-        rows = df.count()
-        self.n = rows
-        self.rows = None
-        if rows * (len(names) + 4) <= LOCAL_CELLS:
-            t = df.toArrow()
-            self.rows = _matrices(t.combine_chunks().to_batches(), with_fold) if rows else (np.zeros((0, len(names))),) + (np.zeros(0),) * 4
-        self.df = df
-
-    @staticmethod
-    def _pick(rows: tuple[np.ndarray, ...], fold: tuple[str, int] | None, cols: list[int] | None) -> tuple[np.ndarray, ...]:
-        x, y, w, o, f = rows
-        if cols is not None:
-            x = x[:, cols] if cols else np.ones((len(y), 1))
-        if fold is None:
-            return x, y, w, o
-        keep = f != fold[1] if fold[0] == "out" else f == fold[1]
-        return x[keep], y[keep], w[keep], o[keep]
-
-    def sum(self, what: str, *args, fold: tuple[str, int] | None = None, cols: list[int] | None = None) -> list[np.ndarray]:
-        """Sums of a kernel method over the rows; ``cols`` selects design columns, none of them a constant."""
-        if self.rows is not None:
-            return _quiet(self.kernel, what, self._pick(self.rows, fold, cols), args)
-        kernel, pick, with_fold = self.kernel, self._pick, self.with_fold
+    """Rows of a fit and the passes over them."""
+
+    def __init__(self, df: DataFrame, names: list[str], kernel: Kernel) -> None:
+        self.names, self.kernel = names, kernel
+        self.df = df.mapInArrow(_pack, "n long, rows binary").persist()
+        self.n = int(self.df.agg(F.sum("n")).first()[0] or 0)
+        self.partitions = self.df.rdd.getNumPartitions()
+
+    def close(self) -> None:
+        self.df.unpersist()
+
+    def ask(self, requests: list[Request], cols: list[int] | None = None) -> list[list[np.ndarray]]:
+        """Sums over the rows for each request, all in one pass; ``cols`` selects design columns, none of them a constant."""
+        kernel = self.kernel
+        p = (len(cols) or 1) if cols is not None else len(self.names)
+        shapes = {"working": [(p, p), (p,), (1,)], "deviances": [(-1,)], "inference": [(p, p), (p, p), (1,), (1,)], "gradient": [(p,)], "weight": [(1,)]}
 
         def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = _add(_quiet(kernel, what, pick(_matrices([b], with_fold), fold, cols), args) for b in batches if b.num_rows)
+            total: list[np.ndarray] | None = None
+            for n, raw in ((n, r) for b in batches for n, r in zip(b.column("n").to_pylist(), b.column("rows"), strict=True)):
+                rows = np.frombuffer(raw.as_buffer()).reshape(n, -1)
+                got = [a for what, arg, fold in requests for a in _quiet(kernel, what, _pick(rows, fold, cols), (arg,))]
+                total = got if total is None else [a + b for a, b in zip(total, got, strict=True)]
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([a.astype(float).tobytes()], pa.binary()) for a in total], names=[f"s{i}" for i in range(len(total))])
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([a.astype(float).reshape(-1) for a in total]).tobytes()], pa.binary())], names=["sums"])
 
         def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = _add([np.frombuffer(v) for v in r] for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in total], names=[f"s{i}" for i in range(len(total))])
-
-        p = (len(cols) or 1) if cols is not None else len(self.names)
-        shapes = {"working": [(p, p), (p,), (1,)], "deviances": [(-1,)], "inference": [(p, p), (p, p), (1,), (1,)], "gradient": [(p,)]}[what]
-        ddl = ", ".join(f"s{i} binary" for i in range(len(shapes)))
-        partial = self.df.mapInArrow(part, ddl)
-        if self.df.rdd.getNumPartitions() > GROUPS:
-            partial = partial.repartition(GROUPS).mapInArrow(merge, ddl)
-        total = _add([np.frombuffer(bytes(v)) for v in r] for r in partial.collect())
-        return [a.reshape(shape) for a, shape in zip(total, shapes, strict=True)]
+            found = [np.frombuffer(v) for b in batches for v in b.column("sums").to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([np.sum(found, 0).tobytes()], pa.binary())], names=["sums"])
+
+        partial = self.df.mapInArrow(part, "sums binary")
+        if self.partitions > GROUPS:
+            partial = partial.repartition(GROUPS).mapInArrow(merge, "sums binary")
+        found = [np.frombuffer(bytes(r["sums"])) for r in partial.collect()]
+        if not found:
+            raise ValueError("the design has no rows")
+        flat, out, at = np.sum(found, 0), [], 0
+        for what, arg, _ in requests:
+            mine = []
+            for shape in shapes[what]:
+                size = len(arg) if shape == (-1,) else int(np.prod(shape))
+                mine.append(flat[at : at + size].reshape(shape))
+                at += size
+            out.append(mine)
+        return out
 
 
 def design_frame(df: DataFrame, columns: list, y, w, o, fold: str | None) -> DataFrame:
     x = F.array(*[c.cast("double") for c in columns]) if columns else F.array().cast("array<double>")
-    return df.select(x.alias("x"), y.alias("y"), w.alias("w"), o.alias("o"), *([F.col(fold).cast("double").alias("fold")] if fold else []))
+    return df.select(x.alias("x"), y.cast("double").alias("y"), w.cast("double").alias("w"), o.cast("double").alias("o"), (F.col(fold) if fold else F.lit(0)).cast("double").alias("fold"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assayer.functions.family import ARRAYS, Family
 from assayer.operators import encoders as enc
 from assayer.operators import explain, splits
-from assayer.operators.glm import GLM, gram
+from assayer.operators.glm import GLM, solver
 from assayer.operators.mllib import MLlibGLM
 from assayer.plans import bench
 from assayer.sources import data
@@ -59,8 +59,8 @@ def test_encoders(spark):
     assert [r["v"] for r in new.collect()] == [3.5, 9.5, 6.5]
     o = enc.OneHot("k").fit(spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "k string"))
     assert [n for n, _ in o.columns()] == ["k=b", "k=c"]
-    with pytest.raises(ValueError, match="not seen"):
-        o.check(new.withColumn("k", F.lit("q")))
+    with pytest.raises(Exception, match="not seen"):
+        new.withColumn("k", F.lit("q")).select(*[c.alias(n) for n, c in o.columns()]).collect()
     s = enc.Standardize("x").fit(spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "x double"))
     assert s.std == pytest.approx(np.sqrt(2 / 3))
 
@@ -113,15 +113,57 @@ def test_gaussian_line(spark):
     assert list(GLM("gaussian", {"x": "raw"}).fit(d, "y").coef.values()) == pytest.approx([1, 2])
 
 
-def test_partitions_and_place_do_not_matter(claims, monkeypatch):
+def test_partitions_do_not_matter(claims):
     fit = lambda d: GLM("poisson", {"age": "spline", "region": "onehot"}).fit(d, "y", offset="o")
     base = fit(claims)
-    monkeypatch.setattr(gram, "LOCAL_CELLS", 0)
-    for n in (1, 5, 40):
+    for n in (1, 40):
         m = fit(claims.repartition(n))
         assert np.allclose(m.beta, base.beta, atol=1e-9) and np.allclose(m.covariance(True), base.covariance(True), atol=1e-9)
 
 
+def test_target_term_does_not_see_its_own_row(spark):
+    rng = np.random.default_rng(3)
+    d = spark.createDataFrame([(i, f"l{rng.integers(300)}", float(rng.normal())) for i in range(600)], "id long, level string, y double")
+    g = GLM("gaussian", {"level": "target"}).fit(d, "y", id_col="id")
+    assert g.deviance / g.null_deviance > 0.97 and abs(g.coef["level"]) < 1.2
+    with pytest.raises(ValueError, match="id_col"):
+        GLM("gaussian", {"level": "target"}).fit(d, "y")
+
+
+def test_missing_keys_are_refused(spark):
+    d = spark.createDataFrame([(i if i else None, "a" if i % 2 else None, float(i)) for i in range(20)], "id long, level string, y double")
+    for call in (lambda: splits.kfold(d, "id"), lambda: splits.stratified(d, "id", "level"), lambda: enc.TargetEncode("level").out_of_fold(d, "y", "id"), lambda: enc.TargetEncode("level").past_only(d, "y", "y", "id")):
+        with pytest.raises(ValueError, match="missing in (1|10)"):
+            call()
+    assert splits.grouped(d.withColumn("g", F.when(F.col("y") > 4, F.col("y"))), "g", 3).count() == 20
+
+
+def test_unseen_level_fails_the_query(spark):
+    d = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0), ("c", 4.0)], "k string, y double")
+    g = GLM("gaussian", {"k": "onehot"}).fit(d, "y", check_inputs=False)
+    assert g.predict(d).count() == 4
+    for new in ("z", None):
+        with pytest.raises(Exception, match="not seen in fitting"):
+            g.contributions(d.withColumn("k", F.lit(new).cast("string"))).collect()
+
+
+def test_group_steps_reach_the_minimum():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(30, 4))
+    g, rho = a.T @ a, rng.normal(size=4) * 40
+    for radius, ridge in ((0.0, 0.5), (3.0, 0.0), (3.0, 2.0), (1e3, 0.0)):
+        x = solver.Block(g, ridge).minimum(rho, radius)
+        if x.any():
+            assert np.abs(g @ x - rho + ridge * x + radius * x / np.linalg.norm(x)).max() < 1e-8
+        else:
+            assert np.linalg.norm(rho) <= radius
+
+
+def test_smallest_refines_a_grid():
+    best, seen = solver.smallest(lambda vs: [(v - 1.37) ** 2 for v in vs], -4, 7)
+    assert abs(best - 1.37) <= 0.05 and len(seen) < 40
+
+
 def test_agrees_with_mllib(claims):
     a = GLM("poisson", {"age": "raw", "region": "onehot"}).fit(claims, "y", offset="o")
     b = MLlibGLM("poisson", {"age": "raw", "region": "onehot"}).fit(claims, "y", offset="o")
