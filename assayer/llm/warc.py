@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import shared_path, small_batches
+from assayer.llm.common import lean, shared_path, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -172,9 +172,6 @@ def salvage(data: bytes) -> Iterator[Record]:
     at, lost, reason = 0, None, ""
     taken, limit = [], 0  # records of the last damaged member, and how far it was read
     while at < len(data):
-        if lost is None and data[at] == 0:  # padding between members
-            at += 1
-            continue
         found, end, why = _step(data, at)
         if end > at:
             # a member that stores without packing shows its records to the search once more
@@ -201,14 +198,23 @@ def salvage(data: bytes) -> Iterator[Record]:
         yield Record(lost, at - lost, "gap", reason)
 
 
-def _members(batches: Iterable[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterable[pa.RecordBatch], level: int, most_bytes: int, most_records: int) -> Iterator[pa.RecordBatch]:
+    """Members with the number of the archive, within this task, that each goes to."""
+    archive, size, n = 0, 0, 0
     for batch in small_batches(batches):
-        out = [member(record(r["kind"], r["page_id"], r["url"], r["payload"] or b"", r["first_id"]), level) for r in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+        out, where = [], []
+        for r in batch.to_pylist():
+            data = member(record(r["kind"], r["page_id"], r["url"], r["payload"] or b"", r["first_id"]), level)
+            if n and (size + len(data) > most_bytes or n >= most_records):
+                archive, size, n = archive + 1, 0, 0
+            size, n = size + len(data) + 1, n + 1
+            out.append(data)
+            where.append(archive)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(where, pa.int32())], names=["member", "archive"])
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, records_per_archive: int = 4000, level: int = 6) -> None:
-    """One record per row below ``path``.
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, records_per_archive: int = 4000, bytes_per_archive: int = 256 << 20, level: int = 6) -> None:
+    """One record per row below ``path``, in archives that end before either bound is passed (a larger record stands alone).
 
     Of rows with equal payloads of at least ``least_bytes`` bytes the one with the smallest
     id is a response and the others are revisits that refer to it. Rows that share the
@@ -216,6 +222,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     is larger than any other, and if all ids of a payload are null all are responses. A
     null html is an empty payload.
     """
+    lean(pages.sparkSession)
     raw = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), raw.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
@@ -223,8 +230,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     shared = rows.filter(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     dealt = rows.join(shared, ["sha1", "size"], "left").withColumn("kind", F.when(revisit, "revisit").otherwise("response"))
-    out = dealt.select("kind", "page_id", "url", "payload", "first_id").mapInArrow(lambda it: _members(it, level), "member binary")
-    out.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_archive).text(path)
+    out = dealt.select("kind", "page_id", "url", "payload", "first_id").mapInArrow(lambda it: _members(it, level, bytes_per_archive, records_per_archive), "member binary, archive int")
+    # the archives of a task follow each other, so the sink need not sort members to keep them apart
+    spark, name = pages.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16")
+    try:
+        out.select(F.col("member").cast("string").alias("value"), "archive").write.option("lineSep", "\x00").partitionBy("archive").text(path)
+    finally:
+        spark.conf.set(name, before)
 
 
 SCHEMA = "archive string, offset long, length long, kind string, reason string, page_id string, url string, payload binary, payload_bytes long, payload_digest string, refers_to string"
@@ -256,9 +270,9 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
     """A row per record or gap (kind ``gap``, with offset, length and reason) of the archives below ``path``.
 
     An archive passes through one task whole, so archives should stay well below an
-    executor's memory; the writer rolls them by number of records.
+    executor's memory; the writer rolls them by bytes and number of records.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(lambda it: _read(it, with_payload), SCHEMA)
 
 
