@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import small_batches
+from assayer.llm.common import lean, small_batches
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,7 +36,7 @@ HEAD_ONLY = frozenset("base basefont bgsound link meta title script style noscri
 SCOPE = frozenset("table td th caption button object html".split())
 
 #: Where a tag that never ends makes the search for its end fail, the rest of the page is read by this pattern, which keeps tags short.
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"<]*"|'[^'<]*'|[^<>"'])*+)>|<!--(.*?)(?:--!?>|\Z)|<[!?/][^>]*>|([^<]+)|<""", re.S)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"<]*"|'[^'<]*'|[^<>"'])*+)>|<!--(?:-?>|(.*?)(?:--!?>|\Z))|<[!?/][^>]*>|([^<]+)|<""", re.S)
 ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 #: The end of a tag, or an attribute; a quote opens a value only after the equals sign, and an open one at the end of input sets the last group.
@@ -45,11 +45,12 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "children", "lines", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
+        self.lines: list[str] = []  # of a table, once it is rendered
 
 
 def _attrs(text: str) -> dict[str, str]:
@@ -289,8 +290,8 @@ class Sheet:
             self.lines.extend(lines)
 
 
-def _cells(table: Node) -> tuple[list[str], list[list[tuple[list[str], int, str]]]]:
-    """Lines of captions and of what stands outside cells, and the rows of (lines, span, alignment)."""
+def _cells(table: Node) -> tuple[list[str], list[list[tuple[list[str], int, str, int]]]]:
+    """Lines of captions and of what stands outside cells, and the rows of (lines, columns, alignment, rows)."""
     outside, rows, late = [], [], []
     stack = [(c, False) for c in reversed(table.children)]
     while stack:
@@ -301,7 +302,7 @@ def _cells(table: Node) -> tuple[list[str], list[list[tuple[list[str], int, str]
         elif hidden(c):
             continue
         elif c.tag == "tr":
-            row = [(render_lines(d), max(1, min(1000, _int(d.attrs.get("colspan"), 1))), (d.attrs.get("align") or _style(d, "text-align")).lower()) for d in c.children if isinstance(d, Node) and d.tag in ("td", "th") and not hidden(d)]
+            row = [(render_lines(d), max(1, min(1000, _int(d.attrs.get("colspan"), 1))), (d.attrs.get("align") or _style(d, "text-align")).lower(), min(65534, _int(d.attrs.get("rowspan"), 1)) or 65534) for d in c.children if isinstance(d, Node) and d.tag in ("td", "th") and not hidden(d)]
             stray = Node("div", {}, None)
             stray.children = [d for d in c.children if isinstance(d, str) or d.tag not in ("td", "th")]
             outside += render_lines(stray)
@@ -314,31 +315,61 @@ def _cells(table: Node) -> tuple[list[str], list[list[tuple[list[str], int, str]
     return outside, rows + late
 
 
+def _placed(rows: list[list[tuple[list[str], int, str, int]]]) -> list[list[tuple[int, list[str], int, str]]]:
+    """(first column, lines, columns, alignment) of each row's cells, which pass over columns that cells from above still fill."""
+    out, taken = [], {}
+    for row in rows:
+        at, here, fresh = 0, [], {}
+        for lines, span, align, deep in row:
+            while taken.get(at):
+                at += 1
+            here.append((at, lines, span, align))
+            if deep > 1:
+                fresh |= dict.fromkeys(range(at, at + span), deep)
+            at += span
+        taken = {c: n - 1 for c, n in (taken | fresh).items() if n > 1}
+        out.append(here)
+    return out
+
+
 def table_lines(table: Node, widest: int = 48) -> list[str]:
     """Rows with columns aligned by padding up to ``widest``; a wider cell is written whole and shifts its row."""
     out, rows = _cells(table)
+    placed = _placed(rows)
     sizes: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span, _ in row:
+    for row in placed:
+        for at, lines, span, _ in row:
             if span == 1:
                 sizes[at] = max(sizes.get(at, 0), min(widest, max(map(width, lines), default=0)))
-            at += span
-    for row in rows:
-        for k in range(max((len(lines) for lines, _, _ in row), default=0) or 1):
-            at, parts = 0, []
-            for lines, span, align in row:
-                size = min(sum(sizes.get(i, 0) for i in range(at, at + span)) + 3 * (span - 1), 4 * widest)
+    room = lambda at, span: min(sum(sizes.get(i, 0) for i in range(at, at + span)) + 3 * (span - 1), 4 * widest)
+    for row in placed:
+        for k in range(max((len(lines) for _, lines, _, _ in row), default=0) or 1):
+            end, parts = 0, []
+            for at, lines, span, align in row:
+                if at > end:
+                    parts.append(" " * room(end, at - end))
                 text = lines[k] if k < len(lines) else ""
-                room = max(0, size - width(text))
-                parts.append(" " * room + text if align == "right" else " " * (room // 2) + text + " " * (room - room // 2) if align == "center" else text + " " * room)
-                at += span
+                left = max(0, room(at, span) - width(text))
+                parts.append(" " * left + text if align == "right" else " " * (left // 2) + text + " " * (left - left // 2) if align == "center" else text + " " * left)
+                end = at + span
             out.append(" | ".join(parts).rstrip())
     return out
 
 
+def render_tables(root: Node) -> None:
+    """Renders all tables below ``root``, inner ones before those that hold them, so that nesting costs no recursion."""
+    tables, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "table":
+            tables.append(node)
+        stack += [c for c in node.children if isinstance(c, Node)]
+    for table in reversed(tables):
+        table.lines = table_lines(table)
+
+
 def render_lines(root: Node) -> list[str]:
-    """The visible text below ``root`` in lines; an explicit stack, so that depth costs no recursion except for nested tables."""
+    """The visible text below ``root``, whose tables are rendered, in lines; an explicit stack, so that depth costs no recursion."""
     sheet = Sheet()
     # (node or text or a call to make afterwards, white space kept, drawn)
     stack: list[tuple] = [(c, False, True, 0) for c in reversed(root.children)]
@@ -366,7 +397,7 @@ def render_lines(root: Node) -> list[str]:
         if tag == "table":
             if drawn:
                 sheet.line(1)
-                sheet.take([("  " * deep + x).rstrip() if x else x for x in table_lines(c)])
+                sheet.take([("  " * deep + x).rstrip() if x else x for x in c.lines])
             sheet.line(1)
             continue
         shown = _style(c, "display") if c.attrs.get("style") else ""
@@ -412,7 +443,9 @@ def extract(source: str | None) -> str | None:
     """Visible text of a page; null stays null."""
     if source is None:
         return None
-    lines = [x.rstrip() for x in render_lines(build(source))]
+    root = build(source)
+    render_tables(root)
+    lines = [x.rstrip() for x in render_lines(root)]
     while lines and not lines[-1]:
         lines.pop()
     while lines and not lines[0]:
@@ -436,5 +469,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     Repeated rows and null ids are kept, other columns are not carried, an empty table
     gives an empty table.
     """
+    lean(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, text string, n_chars long, n_lines long")
