@@ -1,7 +1,7 @@
 """URL rules by a sort-merge range join.
 
 A rule ``host/path`` becomes the key ``reversed host labels + '/' + path``, and every URL
-becomes one probe key per suffix of its host, in the same form. A rule then fits a URL
+becomes one probe key per suffix of its host that has as many labels as some rule, in the same form. A rule then fits a URL
 when its key is a prefix of one of the URL's keys, i.e. when the probe lies in the rule's
 interval. Rule intervals are nested or disjoint, so one sweep over the merged sorted keys
 with a stack of open rules finds the longest rule of each probe.
@@ -89,14 +89,17 @@ def apply_rules(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     p = parallelism(spark)
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     urls = urls.groupBy("page_id", "host", "path").agg(F.count(F.lit(1)).alias("copies"))
-    labels = F.reverse(F.split("host", r"\."))
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit("/"), F.col("path")))
-    probes = urls.select("*", F.explode(suffixes).alias("key")).select(
-        "key", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), "page_id", "host", "path", "copies"
-    )
     # a rule's path follows its host at once, as in the URL; the slash between them in a key is ours
     clean = rules.select(F.lower("host").alias("h"), F.coalesce("path", F.lit("")).alias("p"), F.lower("verdict").alias("verdict")).filter("h is not null and verdict is not null")
     clean = clean.groupBy("h", "p").agg(F.max("verdict").alias("verdict"))
+    # only suffixes with as many labels as some rule has can fit, and of a path only as much as the longest rule's
+    sizes, longest = clean.agg(F.sort_array(F.collect_set(F.size(F.split("h", r"\.")))), F.max(F.length("p"))).first()
+    labels = F.reverse(F.split("host", r"\."))
+    fits = F.filter(F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>"), lambda n: n <= F.size(labels))
+    suffixes = F.transform(fits, lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "."), F.lit("/"), F.substring("path", 1, longest or 0)))
+    probes = urls.select("*", F.explode_outer(suffixes).alias("key")).select(
+        F.coalesce("key", F.lit("")).alias("key"), F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), "page_id", "host", "path", "copies"
+    )
     held = clean.select(
         F.concat(reversed_host(F.col("h")), F.lit("/"), F.col("p")).alias("key"), F.lit(-1).cast("long").alias("salt"), F.lit(0).alias("kind"), F.concat("h", "p").alias("rule"), "verdict",
         F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("copies"),
