@@ -7,8 +7,8 @@ hinge-loss model is fitted to the scaled, length-normalised rows by dual coordin
 descent. A logistic map of the margin, fitted on the margins that rows get from descents
 which leave them out, gives the score.
 
-The fit runs on the driver over at most ``max_rows`` labelled rows and ``max_features``
-features; scoring is one Arrow pass over whole texts without a shuffle.
+The fit runs on the driver over at most ``max_rows`` labelled rows and ``max_chars``
+characters; scoring is one Arrow pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from assayer.llm.common import lean, rest, small_batches
 from assayer.llm.words import grams, tokens
 
-#: Bounds of the fitted sample.
-MAX_ROWS, MAX_FEATURES = 4000, 3_000_000
+#: Bounds of the fitted sample: rows, and characters of their texts together.
+MAX_ROWS, MAX_CHARS = 4000, 9_000_000
 #: Parts of the cross-fit that calibrates the score.
 PARTS = 4
 
@@ -145,26 +145,25 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, max_features: int) -> tuple[list[str | None], np.ndarray]:
-    """The labelled rows with the smallest id hashes, at most ``max_rows``, and of these as many as hold ``max_features`` words."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, max_chars: int) -> tuple[list[str | None], np.ndarray]:
+    """The labelled rows with the smallest id hashes, at most ``max_rows``; of these each whose text still fits into ``max_chars`` characters."""
     marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__id is not null and __y in (0, 1)").groupBy("__id").agg(F.max("__y").alias("__y"))
     chosen = marks.filter(~held_out(F.col("__id"))).orderBy(F.md5(F.col("__id").cast("string").cast("binary")), "__id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     # repeated ids: one text, so that the sample keeps its bound
     got = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__y").agg(F.max("__text").alias("__text"))
-    words = F.coalesce(F.length("__text"), F.lit(0)) / 3
+    chars = F.coalesce(F.length("__text"), F.lit(0))
     order = F.md5(F.col("__id").cast("string").cast("binary"))
-    sized = got.select("__id", "__y", "__text", words.alias("__w"), order.alias("__o"))
+    sized = got.select("__id", "__y", "__text", chars.alias("__w"), order.alias("__o"))
     lengths = sized.select("__id", "__w", "__o").orderBy("__o", "__id").collect()
-    total, keep = 0.0, []
+    left, keep = max_chars, []
     for r in lengths:
-        total += r["__w"]
-        if keep and total > max_features:
-            break
-        keep.append(r["__id"])
+        if r["__w"] <= left:
+            left -= r["__w"]
+            keep.append(r["__id"])
     if not keep:
         return [], np.zeros(0, int)
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in keep], "__id long")
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in keep], f"__id {sized.schema['__id'].dataType.simpleString()}")
     out = sized.join(F.broadcast(wanted), "__id").orderBy("__o", "__id").select("__text", "__y").toPandas()
     return [t if isinstance(t, str) else None for t in out["__text"]], out["__y"].to_numpy(int)
 
@@ -177,9 +176,13 @@ def _score(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     rest()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = 18, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
-    """The model of the labelled rows that aren't held out."""
-    return train(*training_rows(docs, labels, id_col, text_col, label_col, max_rows, max_features), bits)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = 18, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
+    """The model of the labelled rows that aren't held out.
+
+    At most ``max_rows`` of them, those with the smallest id hashes, are fitted, and of these
+    each whose text still fits into ``max_chars`` characters when taken in that order.
+    """
+    return train(*training_rows(docs, labels, id_col, text_col, label_col, max_rows, max_chars), bits)
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
