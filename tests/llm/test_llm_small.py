@@ -95,15 +95,30 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(vectors(spark, [])).count() == 0
 
 
-def test_bounds_spare_work_and_large_scores_stay_exact():
+def test_bounds_spare_work_and_large_scores_stay_exact(monkeypatch, spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 1, (400, 3)), rng.normal(60, 1, (50, 3))]).round()
     far = np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in x[[0, 420]]], 1)
-    _, best, _, seen = next(topk.search_block(x[430:431], far[430:431], np.array([430]), x, far, np.arange(450), 5, 32))
-    assert seen < 450 and best.tolist() == sorted((x[np.arange(450) != 430] @ x[430]).astype(int).tolist(), reverse=True)[:5]
+    one = topk.Best(np.array([430]), x[430:431], far[430:431], np.array([-np.inf]))
+    for part in (slice(400, 450), slice(0, 200), slice(200, 400)):  # the first block's best carry over to the others
+        one.search(x[part], far[part], np.arange(450)[part], 5, 32)
+    assert one.evaluated[0] <= 50 and one.scores[0].tolist() == sorted((x[np.arange(450) != 430] @ x[430]).astype(int).tolist(), reverse=True)[:5]
     big = np.array([[3e15, 1.0], [1e9, 2.0]])
-    _, best, ids, _ = next(topk.search_block(big[:1], np.zeros((1, 0)), np.array([9]), big, np.zeros((2, 0)), np.array([0, 1]), 2))
-    assert best.tolist() == [2**63 - 1] * 2 and ids.tolist() == [0, 1]
+    one = topk.Best(np.array([9]), big[:1], np.zeros((1, 0)), np.array([-np.inf]))
+    one.search(big, np.zeros((2, 0)), np.array([0, 1]), 2)
+    assert one.scores[0].tolist() == [2**63 - 1] * 2 and one.rows[0].tolist() == [0, 1]
+
+
+def test_repeated_queries_and_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    table = [(i, [float(np.float32(v)) for v in rng.standard_normal(4)], 0) for i in range(300)]
+    want = rows(topk.top_k(vectors(spark, table)), "query_id", "rank", "vec_id", "score")
+    asked = topk.evaluations(vectors(spark, table)).toPandas()
+    assert len(asked) == 6 and (asked.evaluated <= 299).all()
+    monkeypatch.setattr(topk, "CHUNK", 512)
+    again = vectors(spark, [*table, table[50], table[50]])
+    got = [r for r in rows(topk.top_k(again, block=8), "query_id", "rank", "vec_id", "score") if r[0] == 50]
+    assert got == [r for r in want if r[0] == 50]
 
 
 # ---- near-duplicate documents
@@ -176,6 +191,12 @@ def test_documents_link_by_exact_frequencies(spark):
     assert got == want
 
 
+def test_one_id_with_two_texts(spark):
+    long = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    df = spark.createDataFrame([(3, long(1)), (5, long(1)), (5, long(2)), (5, long(2))], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in neardup_minhash.drop_near_duplicates(df).collect()) == [(3, long(1)), (5, long(2))]
+
+
 def test_links_reach_every_component():
     one, two = np.array([1, 2, 3, 4, 5], np.uint64), np.array([2, 3, 4, 5, 6], np.uint64)
     sets = [(s, np.ones(5)) for s in (one, two, one)]
@@ -223,6 +244,23 @@ def test_archives_round_trip(spark):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_archives_end_before_their_bounds_and_survive_damage(spark, tmp_path):
+    r = random.Random(3)
+    pages = [(i, f"http://h/{i}", "".join(r.choices("abcdefgh ", k=4000))) for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
+    warc.write_archives(df, f"file://{tmp_path}/w", bytes_per_archive=20_000, records_per_archive=7)
+    files = [f for f in (tmp_path / "w").rglob("*.txt")]
+    assert len(files) >= 9 and all(f.stat().st_size <= 20_000 for f in files)
+    back = warc.read_archives(spark, f"file://{tmp_path}/w")
+    assert rows(back, "page_id", "payload_bytes") == sorted([(str(i), 4000) for i, _, _ in pages], key=str)
+    raw = bytearray(files[0].read_bytes())
+    whole = [x for x in warc.salvage(bytes(raw))]
+    raw[whole[1].offset + whole[1].length // 2] ^= 0x55
+    (tmp_path / "bad").write_bytes(bytes(raw))
+    bad = warc.read_archives(spark, f"file://{tmp_path}/bad")
+    assert bad.filter("kind = 'gap'").count() == 1 and bad.filter("kind = 'response'").count() == len(whole) - 1
+
+
 def test_salvage_recovers_later_records():
     recs = [warc.record("response", i, f"http://h/{i}", f"payload {i} ".encode() * 30, None) for i in range(8)]
     packed = [warc.member(r) + b"\0" for r in recs]
@@ -238,6 +276,8 @@ def test_salvage_recovers_later_records():
     gaps = [r for r in out if r.kind == "gap"]
     assert len(gaps) == 2 and gaps[0].offset == len(packed[0]) and gaps[0].length <= len(packed[1])
     assert "digest" in gaps[1].reason and sum(r.length for r in gaps) < len(packed[1]) + len(recs[5]) + 2
+    gap = [r for r in warc.salvage(packed[0] + bytes(50) + recs[4] + b"\0" + recs[5]) if r.kind == "gap"]
+    assert [(r.offset, r.length) for r in gap] == [(len(packed[0]), 50), (len(packed[0]) + 50 + len(recs[4]), 1)]
     cut = list(warc.salvage(good[:-10]))
     assert cut[-1].kind == "gap" and sum(bool(r.headers) for r in cut) == 7
     assert list(warc.salvage(b"")) == [] and [r.kind for r in warc.salvage(b"noise" * 10)] == ["gap"]
@@ -286,6 +326,10 @@ def test_revisit_fields():
         ("1 < 2 and <3", "1 < 2 and <3"),
         ("<details><summary>S</summary>gone</details>", "S"),
         ("<b>bold</b>face <i>it</i>", "boldface it"),
+        ("a<!-->b</p><p>c", "ab\n\nc"),
+        ("a<!--->b<!-- x -- y --!>c", "abc"),
+        ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A | B\n  | C"),
+        ("<table><tr><td>A<td rowspan=2>B<td>C<tr><td>D<td>E</table>", "A | B | C\nD |   | E"),
         ("", ""),
         (None, None),
     ],
@@ -319,6 +363,7 @@ def test_html_tags_without_end_stay_cheap():
 def test_html_of_hostile_pages():
     assert html.extract("<div>" * 30_000 + "deep") == "deep"
     assert "end" in html.extract('<a href="' * 3000 + "> end")
+    assert html.extract("<table><tr><td>" * 2000 + "deep") == "deep"
     assert html.extract("<p " + "a=b " * 20_000 + ">x") == "x"
 
 
@@ -390,10 +435,14 @@ def test_token_query_edges(spark):
 # ---- quality
 
 
-def test_quality_on_held_out_labels(spark, sf):
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"  # the smallest table has three rejected texts among those held out
     out = queries.op7_quality_nbsvm(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     held = out.filter("held_out").toPandas()
-    assert (held.predicted == held.quality).mean() >= 0.85
+    good, bad = held[held.quality == 1], held[held.quality == 0]
+    auc = (good.score.to_numpy()[:, None] > bad.score.to_numpy()[None, :]).mean() + 0.5 * (good.score.to_numpy()[:, None] == bad.score.to_numpy()[None, :]).mean()
+    balanced = ((good.predicted == 1).mean() + (bad.predicted == 0).mean()) / 2
+    assert len(bad) >= 10 and auc >= 0.9 and balanced >= 0.75, (len(bad), auc, balanced)
     assert out.filter("score < 0 or score > 1 or score is null").count() == 0
 
 
@@ -403,6 +452,10 @@ def test_quality_ignores_everything_but_the_text(spark, sf):
     got = quality.score_documents(df, model)
     assert got.count() == 4 and got.select("score").distinct().count() == 2
     assert quality.keep_good(df, model, 0.0).count() == 4 and quality.keep_good(df, model, 0.0).columns == df.columns
+    texts = spark.createDataFrame([(f"d{i}", ("fine words here " if i % 2 else "BAD!! $$$ ") * 3) for i in range(200)] + [("d900", "x " * 90_000)], "doc_id string, text string")
+    marks = spark.createDataFrame([(f"d{i}", i % 2) for i in range(200)] + [("d900", 1)], "doc_id string, quality int")
+    fitted = quality.fit(texts, marks, max_chars=10_000)
+    assert fitted.scores(["fine words here"])[0] > 0.5 > fitted.scores(["BAD!! $$$"])[0]
     one = quality.train(["a"] * 3, np.ones(3))
     assert 0.5 < one.scores([""])[0] < 1
     assert quality.train([], np.zeros(0)).scores(["x"])[0] == pytest.approx(0.5)
@@ -435,7 +488,7 @@ def test_url_rules_match_brute_force(spark):
     r = random.Random(3)
     labels = ["com", "org", "a", "b", "example", "www"]
     urls = [f"http{r.choice(['', 's'])}://{'.'.join(r.choice(labels) for _ in range(r.randint(1, 4)))}{r.choice(['', '/', '/en/', '/en/1', '/es/x', '/EN/', '/en//'])}{r.choice(['', '?q=/en/', '#top'])}" for _ in range(400)]
-    urls += [None, "", "nohost", "http://", "HTTP://EXAMPLE.Org/es/", "x://a?y", "http://\U0010ffff.org/\U0010ffff", urls[0], urls[0]]
+    urls += ["http://" + "a." * 20_000 + "b.com/en/1" + "x" * 5000, None, "", "nohost", "http://", "HTTP://EXAMPLE.Org/es/", "x://a?y", "http://\U0010ffff.org/\U0010ffff", urls[0], urls[0]]
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("com", "/en/", "block"), ("com", "/en/1", "allow"), ("a.com", "/e", "block"), ("com", "", "allow"), ("b", "/en", "block"), ("b", "/en", "allow")]
     pages = spark.createDataFrame([(i if i != 7 else None, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("rule", F.lit("clash"))
     got = urlfilter.apply_rules(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
