@@ -60,7 +60,7 @@ def lean(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
-def with_groups(df: DataFrame, keys: list[str], aggs: list[Column], total: int | None = None, floor: int = 64) -> DataFrame:
+def with_groups(df: DataFrame, keys: list[str], aggs: list[Column], total: int | None = None, floor: int = 512) -> DataFrame:
     """``df`` with the aggregates of the rows that share its ``keys`` (no nulls), where one group may hold most rows.
 
     A group of more than ``floor`` rows and more than 1/4p of ``total`` (p shuffle
@@ -73,7 +73,10 @@ def with_groups(df: DataFrame, keys: list[str], aggs: list[Column], total: int |
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *aggs).select(*[F.col(k).alias(f"__{k}") for k in keys], "*").drop(*keys)
     found = [c for c in stats.columns if not c.startswith("__")]
     same = [F.col(k) == F.col(f"__{k}") for k in keys]
-    flagged = df.join(F.broadcast(stats.filter(F.col("__n") > over)), same, "left")
+    large = cut(stats.filter(F.col("__n") > over))
+    if large.isEmpty():
+        return df.join(stats, same).select(*df.columns, *found)
+    flagged = df.join(F.broadcast(large), same, "left")
     hot = flagged.filter("__n is not null").select(*df.columns, *found)
     cold = flagged.filter("__n is null").select(*df.columns).join(stats.filter(F.col("__n") <= over), same).select(*df.columns, *found)
     return hot.unionByName(cold)
@@ -89,7 +92,7 @@ def small_batches(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -
 
 
 def rest() -> None:
-    """Gives memory that a task has used back to the system: a worker process lives on, and the next stage counts what it holds."""
+    """Gives memory that a task or a fit has used back to the system: the process lives on, and the next stage counts what it holds."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import cut
-
-
-def _min_by(edges: DataFrame) -> DataFrame:
-    """Each node u with the smallest node among itself and its neighbours v; partial minima before the shuffle."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+from assayer.llm.common import cut, with_groups
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -18,19 +13,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round joins the edges with the minima of their nodes and keeps the distinct ends,
     until every edge points at its root. Rounds are checkpointed in the shared folder, so a
-    lost executor costs a task, not the lineage. Null ends and loops are ignored. Joins are
-    on the centre of a star; adaptive execution splits a hot centre, as the other side has
-    one row for each node.
+    lost executor costs a task, not the lineage. Null ends and loops are ignored. The minimum
+    of a star's centre reaches its edges by broadcast if it has many (see
+    :func:`~assayer.llm.common.with_groups`), so no task reads a whole star.
     """
     e = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
+        n = e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # large star: every larger neighbour of u goes to u's minimum
-        large = both.join(_min_by(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # large star: every larger neighbour of u goes to the least of u and its neighbours
+        large = with_groups(both, ["u"], [F.min("v").alias("m")], 2 * n).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = cut(large.filter("u <> v").distinct())
         # small star: u and its smaller neighbours go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("v"))
+        small = with_groups(large, ["u"], [F.min("v").alias("m")], n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low).distinct()
         e = cut(small)
         # done when no root of an edge is itself hung below another node
         if e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").isEmpty() and e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():

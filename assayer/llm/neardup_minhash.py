@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import cut, groups, maybe_among, parallelism, runs, small_batches, stored
+from assayer.llm.common import cut, groups, lean, maybe_among, parallelism, rest, runs, small_batches, stored, with_groups
 from assayer.llm.components import connected_components
 from assayer.llm.words import mix, shingles
 
 #: Bytes of text of a bucket and of a range of shingles, about.
-BUCKET_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+BUCKET_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
+#: Most members of a part of a group that is compared with the group's smallest member.
+PART_ROWS = 128
 TABLE_BITS = 16
 U = np.uint64
 
@@ -71,6 +73,15 @@ def counted(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray,
     return doc[at], h[at], np.diff(np.concatenate((at, [len(h)])))
 
 
+def pack(h: np.ndarray) -> bytes:
+    """Sorted hashes as the bytes of their steps, all lowest bytes first: the upper bytes of steps are zeros, which the shuffle's compression removes."""
+    return np.diff(h, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(U).reshape(-1), dtype=U)
+
+
 def _ranged(batches: Iterable[pa.RecordBatch], size: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Distinct shingles of each bucket in ``2**bits`` ranges of their hash, with the number of its rows that have each."""
     for g in groups(batches, ["bucket"]):
@@ -83,13 +94,14 @@ def _ranged(batches: Iterable[pa.RecordBatch], size: int, bits: int) -> Iterator
         cuts = list(zip(at[:-1], at[1:], strict=True))
         n = n.astype(np.uint32)
         bucket = np.full(len(cuts), g.column("bucket")[0].as_py(), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(bucket), pa.array([h[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary())], names=["range", "bucket", "h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(bucket), pa.array([pack(h[a:b]) for a, b in cuts], pa.binary()), pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary())], names=["range", "bucket", "h", "n"])
+    rest()
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each bucket those of its shingles that more than one document has, with their document frequencies."""
     for g in groups(batches, ["range"]):
-        parts = [np.frombuffer(x, U) for x in g.column("h").to_pylist()]
+        parts = [unpack(x) for x in g.column("h").to_pylist()]
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in g.column("n").to_pylist()])
         _, at = np.unique(np.concatenate(parts), return_inverse=True)
         df = np.bincount(at, n).astype(np.uint32)[at]
@@ -97,9 +109,10 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_h, out_n = [], []
         for x, end in zip(parts, ends, strict=True):
             own = df[end - len(x) : end]
-            out_h.append(x[own > 1].tobytes())
+            out_h.append(pack(x[own > 1]))
             out_n.append(own[own > 1].tobytes())
         yield pa.RecordBatch.from_arrays([g.column("bucket").combine_chunks(), pa.array(out_h, pa.binary()), pa.array(out_n, pa.binary())], names=["bucket", "h", "n"])
+    rest()
 
 
 class Sampler:
@@ -152,7 +165,8 @@ SIGNED = "doc_id long, digest binary, bands array<long>, df binary"
 def _signatures(texts: pa.Table, shared: pa.Table, sampler: Sampler, size: int, n: int) -> pa.Table:
     """Band keys of a bucket's texts, and the document frequencies of each one's distinct shingles in the order of their hashes."""
     names = ["doc_id", "digest", "bands", "df"]
-    h, df = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in shared.column(c).to_pylist())]) for c, t in (("h", U), ("n", np.uint32)))
+    h = np.concatenate([np.zeros(0, U), *map(unpack, shared.column("h").to_pylist())])
+    df = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in shared.column("n").to_pylist())])
     order = np.argsort(h)
     known = Weights(1.0, h[order], df[order].astype(float))
     out = [pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())], names=names)]
@@ -211,16 +225,18 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _to_leader(batches: Iterable[pa.RecordBatch], size: int, n: int) -> Iterator[pa.RecordBatch]:
-    """Distance of each member to its group's smallest member."""
-    last, leader = None, None
+    """Distance of each member to its group's smallest member, which comes first in each part of the group."""
+    leader = None
     for batch in small_batches(batches, 4 << 20):
         sets = counted_sets(batch.column("text").to_pylist(), batch.column("df").to_pylist(), size, n)
-        out = []
-        for comp, s, row in zip(batch.column("comp").to_pylist(), sets, range(batch.num_rows), strict=True):
-            if comp != last:
-                last, leader = comp, counted_sets([batch.column("leader")[row].as_py()], [batch.column("leader_df")[row].as_py()], size, n)[0]
+        leads, out = (batch.column("node").to_numpy() == batch.column("comp").to_numpy()).tolist(), []
+        for leads_here, s in zip(leads, sets, strict=True):
+            if leads_here:
+                leader = s
             out.append(1 - similarity(s, leader))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("comp"), batch.column("bytes"), pa.array(out, pa.float64())], names=["node", "comp", "bytes", "d"])
+        follows = pa.array(np.logical_not(leads))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "comp", "bytes")), pa.array(out, pa.float64())], names=["node", "comp", "bytes", "d"]).filter(follows)
+    rest()
 
 
 def links_among(nodes: np.ndarray, d: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
@@ -259,6 +275,7 @@ def _verify(batches: Iterable[pa.RecordBatch], size: int, n: int, threshold: flo
         found = links_among(g.column("node").to_numpy(), g.column("d").to_numpy(), sets, threshold)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["u", "v"])
+    rest()
 
 
 def near_duplicate_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,60 +284,72 @@ def near_duplicate_documents(docs: DataFrame, threshold: float = 0.8, size: int
     Documents link if their texts are equal and not empty, or if the weighted Jaccard
     similarity of their shingles of ``size`` words is at least ``threshold``; a text with
     fewer words is one shingle of all its words. Null and empty texts link with nothing,
-    and wordless ones with equal texts only. Rows that repeat an id are one vertex and keep
-    a row each. Rows without an id are in no class (class_id null, kept true). Other
-    columns are not carried; an empty table gives an empty table.
+    and wordless ones with equal texts only. Rows that repeat an id and a text are one
+    document and keep a row each; an id with several texts stands for as many documents.
+    Rows without an id are in no class (class_id null, kept true). Other columns are not
+    carried; an empty table gives an empty table.
     """
+    return _classes(docs, threshold, size, bands, rows, block_bytes, id_col, text_col).drop("digest")
+
+
+def _classes(docs: DataFrame, threshold: float, size: int, bands: int, rows: int, block_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest of the text (null if it is null or empty), class_id and kept."""
     spark = docs.sparkSession
+    lean(spark)
     p = parallelism(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found, n = signatures(base, size, bands, rows)
     signed = stored(found.filter("doc_id is not null"), "signatures")
     live = base.filter("doc_id is not null and text <> ''").withColumn("digest", F.unhex(F.md5("text")))
-    classes = signed.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    first = signed.join(classes, "digest").filter("doc_id = node").select("node", "digest", "bands", "df")
-    heads = stored(first.dropDuplicates(["digest"]), "heads")
+    # one class of equal texts; copies are folded before the shuffle
+    first = signed.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("node"), "bands", "df")).alias("m")).select("digest", "m.*")
+    heads = stored(first.withColumn("room", F.octet_length("df").cast("long")), "heads")
     # pointers to the smallest member of each bucket; minima are partial before the shuffle
     band = heads.select("node", F.posexplode("bands").alias("band", "key"))
     least = band.groupBy("band", "key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     pointers = band.join(least, ["band", "key"]).filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
     comps = connected_components(pointers).withColumnRenamed("component", "comp")
-    wanted = cut(comps.join(heads.select("node", F.col("digest").alias("own"), "df"), "node"))
+    # a group is dealt to parts by the size of its members, and its smallest member goes to each
+    sized = with_groups(cut(comps.join(heads.select("node", "room"), "node")), ["comp"], [F.sum("room").alias("whole"), F.count(F.lit(1)).alias("size")])
+    sized = sized.select("node", "comp", F.ceil(F.greatest(F.col("whole") / (block_bytes // 2), F.col("size") / PART_ROWS)).cast("int").alias("parts"))
+    wanted = cut(sized.join(heads.select("node", F.col("digest").alias("own"), "df"), "node"))
     texts = maybe_among(live.select(F.col("doc_id").alias("node"), "text", "digest"), "node", wanted, "maybe").filter("maybe")
-    grouped = texts.join(wanted, "node").filter("digest = own")
-    members = stored(grouped.select("node", "comp", "digest", "text", "df").dropDuplicates(["node", "digest"]), "candidates")
-    leaders = members.filter("node = comp").select("comp", F.col("text").alias("leader"), F.col("df").alias("leader_df"))
-    led = members.filter("node <> comp").join(leaders, "comp").select("node", "comp", "text", "df", "leader", "leader_df", F.octet_length("text").cast("long").alias("bytes"))
-    far = stored(led.mapInArrow(lambda it: _to_leader(it, size, n), "node long, comp long, bytes long, d double"), "leader-distances")
+    grouped = texts.join(wanted, "node").filter("digest = own").withColumn("bytes", F.octet_length("text").cast("long"))
+    members = stored(grouped.select("node", "comp", "parts", "digest", "text", "df", "bytes").dropDuplicates(["node", "digest"]), "candidates")
+    led = ["node", "comp", "part", "text", "df", "bytes"]
+    heads_of = members.filter("node = comp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*led)
+    others = members.filter("node <> comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select(*led)
+    dealt = heads_of.unionByName(others).repartition(p, "comp", "part").sortWithinPartitions("comp", "part", F.col("node") != F.col("comp"), "node")
+    far = stored(dealt.mapInArrow(lambda it: _to_leader(it, size, n), "node long, comp long, bytes long, d double"), "leader-distances")
     reach = 1 - threshold + 1e-9
     near = far.filter(F.col("d") <= reach).select(F.col("node").alias("u"), F.col("comp").alias("v"))
-    open_ = far.filter(F.col("d") > reach).groupBy("comp").agg(F.min("d").alias("least"))
-    left = far.join(open_, "comp").filter(F.col("d") >= F.col("least") - reach)
-    size_of = left.groupBy("comp").agg(F.sum("bytes").alias("all"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    blocks = left.join(size_of, "comp").withColumn("nb", F.ceil(F.col("all") / block_bytes).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("node", "comp", "d", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj")).join(members.select("node", "text", "df"), "node")
-    placed = dealt.repartition(p, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "d", "node")
+    far_rows = far.count()
+    left = with_groups(far, ["comp"], [F.min(F.when(F.col("d") > reach, F.col("d"))).alias("least")], far_rows).filter(F.col("d") >= F.col("least") - reach).drop("least")
+    left = with_groups(cut(left), ["comp"], [F.sum("bytes").alias("all"), F.count(F.lit(1)).alias("c")], far_rows).filter("c > 1")
+    blocks = left.withColumn("nb", F.ceil(F.col("all") / block_bytes).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    pairs = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    pairs = pairs.select("node", "comp", "d", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj")).join(members.select("node", "text", "df"), "node")
+    placed = pairs.repartition(p, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "d", "node")
     inner = placed.mapInArrow(lambda it: _verify(it, size, n, threshold), "u long, v long")
     final = connected_components(near.unionByName(inner))
     known = heads.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
-    classed = signed.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id")
-    rest = base.filter("doc_id is null or text is null or text = ''").select("doc_id", F.col("doc_id").alias("class_id"))
-    return classed.unionByName(rest).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    classed = signed.select("doc_id", "digest").join(known, "digest").select("doc_id", "digest", "class_id")
+    out = base.filter("doc_id is null or text is null or text = ''").select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"))
+    return classed.unionByName(out).select("doc_id", "digest", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that their class keeps, all columns, each id and text once.
 
-    Rows without an id stay as they are. Only rows that may go, or that repeat an id, pass
-    through a shuffle.
+    Rows without an id stay as they are. Only rows whose id may go, or repeats, pass through
+    a shuffle.
     """
-    found = near_duplicate_documents(docs, id_col=id_col, text_col=text_col, **options)
+    found = _classes(docs, threshold, size, bands, rows, block_bytes, id_col, text_col)
     key = F.col(id_col).cast("long")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("__assayer_id"))
+    gone = cut(found.filter("not kept").select(F.col("doc_id").alias("__assayer_id"), F.col("digest").alias("__assayer_digest")).distinct())
     twice = docs.groupBy(key.alias("__assayer_id")).agg(F.count(F.lit(1)).alias("__assayer_n")).filter("__assayer_id is not null and __assayer_n > 1").select("__assayer_id")
-    gone = cut(gone.distinct())
-    flagged = maybe_among(docs.withColumn("__assayer_id", key), "__assayer_id", gone.unionByName(twice).distinct(), "__assayer_maybe")
+    flagged = maybe_among(docs.withColumn("__assayer_id", key), "__assayer_id", gone.select("__assayer_id").unionByName(twice).distinct(), "__assayer_maybe")
     sure = flagged.filter("not __assayer_maybe").select(*docs.columns)
-    left = flagged.filter("__assayer_maybe").join(gone, "__assayer_id", "left_anti")
-    return sure.unionByName(left.dropDuplicates(["__assayer_id", text_col]).select(*docs.columns))
+    maybe = flagged.filter("__assayer_maybe").withColumn("__assayer_digest", F.unhex(F.md5(F.col(text_col).cast("string"))))
+    left = maybe.join(gone, ["__assayer_id", "__assayer_digest"], "left_anti")
+    return sure.unionByName(left.dropDuplicates(["__assayer_id", "__assayer_digest"]).select(*docs.columns))

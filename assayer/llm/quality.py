@@ -119,7 +119,7 @@ def train(texts: list[str | None], y: np.ndarray, bits: int = 18, c: float = 1.0
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(bits, np.zeros(1 << bits), 0.0, 1.0, float(np.log(share / (1 - share))))
-    rows = [r for at in range(0, len(texts), 256) for r in features(texts[at : at + 256], bits)]
+    rows = [r.copy() for at in range(0, len(texts), 256) for r in features(texts[at : at + 256], bits)]
     weigh = lambda v: c * np.where(v == 1, len(v) / (2 * max((v == 1).sum(), 1)), len(v) / (2 * max((v == 0).sum(), 1)))
 
     def fit(keep: np.ndarray) -> tuple[np.ndarray, float]:
@@ -182,7 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     At most ``max_rows`` of them, those with the smallest id hashes, are fitted, and of these
     each whose text still fits into ``max_chars`` characters when taken in that order.
     """
-    return train(*training_rows(docs, labels, id_col, text_col, label_col, max_rows, max_chars), bits)
+    model = train(*training_rows(docs, labels, id_col, text_col, label_col, max_rows, max_chars), bits)
+    rest()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -463,7 +463,9 @@ class Tokenizer:
 @lru_cache(maxsize=2)
 def compiled(blob: bytes) -> Tokenizer:
     """The machines of a model, compiled once per driver; executors get them as arrays."""
-    return Tokenizer(blob)
+    made = Tokenizer(blob)
+    rest()
+    return made
 
 
 def _encode(batches: Iterable[pa.RecordBatch], t: Tokenizer) -> Iterator[pa.RecordBatch]:
