@@ -191,6 +191,25 @@ def test_documents_link_by_exact_frequencies(spark):
     assert got == want
 
 
+def test_bands_find_pairs_near_the_threshold():
+    # pairs of texts whose last words differ, at similarities from 0.80 to 0.85; weights are equal, as every shingle is rare
+    r = random.Random(9)
+    sampler = neardup_minhash.Sampler(float(neardup_minhash.inverse_frequency(1, 1000)), 16, 4)
+    found = pairs = 0
+    for _ in range(400):
+        n, share = r.randint(80, 300), r.uniform(0.80, 0.85)
+        base = [f"w{r.randrange(10**9)}" for _ in range(n)]
+        changed = round(n * (1 - 2 * share / (1 + share)))
+        other = base[: n - changed] + [f"v{r.randrange(10**9)}" for _ in range(changed)]
+        doc, h, count = neardup_minhash.counted([" ".join(base), " ".join(other)], 5)
+        a, b = set(h[doc == 0].tolist()), set(h[doc == 1].tolist())
+        if not 0.80 <= len(a & b) / len(a | b) <= 0.85:
+            continue
+        keys, _ = sampler.band_keys(doc, h, count, np.full(len(h), float(neardup_minhash.inverse_frequency(1, 1000))), 2)
+        pairs, found = pairs + 1, found + bool((keys[0] == keys[1]).any())
+    assert pairs >= 250 and found / pairs >= 0.99, (found, pairs)
+
+
 def test_one_id_with_two_texts(spark):
     long = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
     df = spark.createDataFrame([(3, long(1)), (5, long(1)), (5, long(2)), (5, long(2))], "doc_id long, text string")
