@@ -6,7 +6,7 @@ from oracle import connect, same
 from assayer import plans
 
 SQL, QUERIES = plans.sql(), plans.queries()
-SLOW = {"bench_summary", "compare", "glm_cv_path", "permutation_importance", "rank_pairs"}
+SLOW = {"bench_summary", "glm_cv_path"}
 
 
 @pytest.fixture(scope="module")
