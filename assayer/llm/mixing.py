@@ -12,8 +12,8 @@ larger one is raked as a DataFrame.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -46,20 +46,44 @@ def tempered(power: float) -> Callable[[np.ndarray], np.ndarray]:
 
 @dataclass(frozen=True)
 class Plan:
-    """Targets: powers of the margins' own shares; ``sweeps`` of raking; ``budget`` is the share of tokens to keep."""
+    """Targets of the margins, sweeps of raking, and ``budget``, the share of tokens to keep.
+
+    ``targets`` maps, by margin, every level (None for null) to a weight above 0; weights are scaled
+    to shares over the levels that have tokens, and a level that the table has and the targets
+    lack is refused. A margin without targets takes a power of its own shares. Raking ends
+    after ``sweeps`` rounds, or earlier when no margin is further than ``close`` from its target.
+    """
 
     powers: tuple[float, float, float] = (0.7, 0.8, 0.9)
     sweeps: int = 25
     budget: float = 0.75
+    targets: Mapping[str, Mapping[str | None, float]] = field(default_factory=dict)
+    close: float = 1e-13
+
+    def __post_init__(self) -> None:
+        if set(self.targets) - set(MARGINS):
+            raise ValueError(f"targets are of {', '.join(MARGINS)}, not of {', '.join(sorted(set(self.targets) - set(MARGINS)))}")
+        for m, levels in self.targets.items():
+            if not all(np.isfinite(v) and v > 0 for v in levels.values()):
+                raise ValueError(f"a target of {m} is not above 0; leave out the rows of levels that are not wanted")
+
+
+def _refuse(margin: str, levels: Sequence) -> None:
+    if levels:
+        raise ValueError(f"the targets of {margin} lack {', '.join(map(str, levels[:5]))}; name every level that has tokens")
 
 
-def rake(cells: np.ndarray, codes: Sequence[np.ndarray], targets: Sequence[np.ndarray], sweeps: int) -> np.ndarray:
-    """Shares of the cells after ``sweeps`` rounds over the margins; ``codes[m]`` is each cell's level of margin m."""
+def rake(cells: np.ndarray, codes: Sequence[np.ndarray], targets: Sequence[np.ndarray], sweeps: int, close: float = 0.0) -> np.ndarray:
+    """Shares of the cells after at most ``sweeps`` rounds over the margins; ``codes[m]`` is each cell's level of margin m."""
     x = cells / cells.sum()
     for _ in range(sweeps):
+        off = 0.0
         for code, target in zip(codes, targets, strict=True):
             now = np.bincount(code, x, len(target))
+            off = max(off, float(np.abs(now - target).max()))
             x = x * np.divide(target, now, out=np.zeros_like(now), where=now > 0)[code]
+        if off <= close:
+            break
     return x
 
 
@@ -90,28 +114,51 @@ def _rake_local(cells: DataFrame, plan: Plan) -> DataFrame:
     for m, power in zip(MARGINS, plan.powers, strict=True):
         levels = {v: i for i, v in enumerate(dict.fromkeys(r[m] for r in rows))}
         codes.append(np.array([levels[r[m]] for r in rows]))
-        targets.append(tempered(power)(np.bincount(codes[-1], tokens) / tokens.sum()))
-    weight = rake(tokens, codes, targets, plan.sweeps) / (tokens / tokens.sum())
+        if m in plan.targets:
+            _refuse(m, [v for v in levels if v not in plan.targets[m]])
+            wanted = np.array([plan.targets[m][v] for v in levels], float)
+            targets.append(wanted / wanted.sum())
+        else:
+            targets.append(tempered(power)(np.bincount(codes[-1], tokens) / tokens.sum()))
+    weight = rake(tokens, codes, targets, plan.sweeps, plan.close) / (tokens / tokens.sum())
     p = calibrate(tokens, weight, plan.budget)
     return cells.sparkSession.createDataFrame([(*(r[m] for m in MARGINS), float(w), float(q)) for r, w, q in zip(rows, weight, p, strict=True)], schema)
 
 
+def target_frames(x: DataFrame, plan: Plan) -> list[DataFrame]:
+    """Per margin (__m, t): the target share of every level of ``x``, whose shares are in column x."""
+    out = []
+    for m, power in zip(MARGINS, plan.powers, strict=True):
+        t = x.groupBy(m).agg((F.sum("x") ** power).alias("t"))
+        if m in plan.targets:
+            named = x.sparkSession.createDataFrame([(k, float(v)) for k, v in plan.targets[m].items()], "__k string, t double")
+            t = t.drop("t").join(named, F.col(m).eqNullSafe(F.col("__k")), "left")
+            _refuse(m, [r[0] for r in t.filter("t is null").select(m).limit(5).collect()])
+        scale = t.agg(F.sum("t")).first()[0]
+        out.append(cut(t.select(F.col(m).alias("__m"), (F.col("t") / scale).alias("t"))))
+    return out
+
+
+def _distance(x: DataFrame, m: str, target: DataFrame) -> float:
+    """The largest gap between a margin of ``x`` and its target."""
+    now = x.groupBy(m).agg(F.sum("x").alias("now"))
+    return float(now.join(target, F.col(m).eqNullSafe(F.col("__m"))).agg(F.max(F.abs(F.col("now") - F.col("t")))).first()[0] or 0.0)
+
+
 def _rake_frame(cells: DataFrame, plan: Plan, bisections: int = 60) -> DataFrame:
     """The same on a DataFrame of cells, for tables too large for the driver."""
     cells = cut(cells.filter("tokens > 0"))
     total = cells.agg(F.sum("tokens")).first()[0]
     x = cells.withColumn("x", F.col("tokens") / total)
-    targets = []
-    for m, power in zip(MARGINS, plan.powers, strict=True):
-        t = x.groupBy(m).agg((F.sum("x") ** power).alias("t"))
-        scale = t.agg(F.sum("t")).first()[0]
-        targets.append(cut(t.select(F.col(m).alias("__m"), (F.col("t") / scale).alias("t"))))
+    targets = target_frames(x, plan)
     for _ in range(plan.sweeps):
         for m, target in zip(MARGINS, targets, strict=True):
             now = x.groupBy(m).agg(F.sum("x").alias("now")).select(F.col(m).alias("__l"), "now")
             ratio = now.join(target, F.col("__l").eqNullSafe(F.col("__m"))).select("__l", (F.col("t") / F.col("now")).alias("ratio"))
             x = x.join(ratio, F.col(m).eqNullSafe(F.col("__l"))).withColumn("x", F.col("x") * F.col("ratio")).drop("__l", "ratio")
         x = cut(x)
+        if max(_distance(x, m, target) for m, target in zip(MARGINS, targets, strict=True)) <= plan.close:
+            break
     x = x.withColumn("weight", F.col("x") * total / F.col("tokens"))
     expected = lambda s: x.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * s))).first()[0]
     low, high = 0.0, 1.0
@@ -149,6 +196,30 @@ def mixed(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id", tex
     return out.withColumn("__sampled", u < F.col("__probability"))
 
 
+def margin_report(docs: DataFrame, plan: Plan | None = None, text_col: str = "text", topic: Column | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
+    """(margin, level, tokens, share, target, raked, sampled): how near raking comes, and the shares expected in the sample.
+
+    ``raked`` misses ``target`` where the sweeps end early or where no weights meet all
+    margins; ``sampled`` misses ``raked`` where probabilities stop at 1. Documents without
+    tokens count nowhere; a table without tokens gives no rows.
+    """
+    plan = plan or Plan()
+    t = docs.select("source", "lang", (topic if topic is not None else layout_topic(F.col(text_col))).alias("topic"), token_count(F.col(text_col)).alias("tokens"))
+    raked, _ = raked_cells(t, plan, max_cells)
+    own = cell_table(t).filter("tokens > 0").select(*[F.col(m).alias(f"__{m}") for m in MARGINS], "tokens")
+    same = [F.col(m).eqNullSafe(F.col(f"__{m}")) for m in MARGINS]
+    cells = cut(own.join(raked, same[0] & same[1] & same[2]).drop(*[f"__{m}" for m in MARGINS]))
+    total, kept = cells.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability"))).first()
+    schema = "margin string, level string, tokens double, share double, target double, raked double, sampled double"
+    if not total:
+        return docs.sparkSession.createDataFrame([], schema)
+    parts = []
+    for m, target in zip(MARGINS, target_frames(cells.withColumn("x", F.col("tokens") / total), plan), strict=True):
+        sums = cells.groupBy(m).agg(F.sum("tokens").alias("tokens"), (F.sum("tokens") / total).alias("share"), (F.sum(F.col("tokens") * F.col("weight")) / total).alias("raked"), (F.sum(F.col("tokens") * F.col("probability")) / kept).alias("sampled"))
+        parts.append(sums.join(target, F.col(m).eqNullSafe(F.col("__m"))).select(F.lit(m).alias("margin"), F.col(m).alias("level"), "tokens", "share", F.col("t").alias("target"), "raked", "sampled"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def mix_report(docs: DataFrame, plan: Plan | None = None, **options) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability and sampled of every row."""
     m = mixed(docs, plan, **options)

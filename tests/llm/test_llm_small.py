@@ -252,6 +252,25 @@ def test_both_ways_of_raking_agree(spark):
     assert np.allclose(a.w, b.w, atol=1e-5) and np.allclose(a.p, b.p, atol=1e-5)
 
 
+def test_explicit_targets_and_margin_report(spark):
+    docs = mix_docs(spark)
+    named = {"source": {"s1": 5.0, "s2": 3.0, None: 2.0, "absent": 7.0}, "lang": {"en": 0.5, "fr": 0.5}}
+    plan = mixing.Plan(sweeps=8, budget=0.4, targets=named, close=1e-6)
+    a, b = (mixing.margin_report(docs, plan, max_cells=c).toPandas().sort_values(["margin", "level"]).reset_index(drop=True) for c in (10**5, 1))
+    assert np.allclose(a[["target", "raked", "sampled"]], b[["target", "raked", "sampled"]], atol=1e-6)
+    assert np.allclose(a.target, a.raked, atol=1e-5) and np.allclose(a.groupby("margin").sampled.sum(), 1)
+    want = dict(zip(a.level[a.margin == "source"].fillna("-"), a.target[a.margin == "source"], strict=True))
+    assert want == pytest.approx({"s1": 0.5, "s2": 0.3, "-": 0.2})
+    assert mixing.margin_report(docs.limit(0), plan).count() == 0
+    for c in (10**5, 1):
+        with pytest.raises(ValueError, match="targets of lang lack fr"):
+            mixing.mixed(docs, mixing.Plan(targets={"lang": {"en": 1.0}}), max_cells=c)
+    with pytest.raises(ValueError, match="not above 0"):
+        mixing.Plan(targets={"lang": {"en": 0.0}})
+    with pytest.raises(ValueError, match="not of kind"):
+        mixing.Plan(targets={"kind": {}})
+
+
 # ---- archives
 
 
