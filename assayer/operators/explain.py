@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.family import Family, column
+from assayer.operators.encoders import MAX_LEVELS
 from assayer.operators.metrics import Name
 from assayer.operators.splits import hash_rank
 
@@ -15,9 +16,12 @@ def is_categorical(df: DataFrame, feature: str) -> bool:
 
 
 def feature_grid(df: DataFrame, feature: str, points: int = 20) -> list:
-    """Levels of a category, or the distinct quantiles of a number."""
+    """Levels of a category, at most ``MAX_LEVELS``, or the distinct quantiles of a number."""
     if is_categorical(df, feature):
-        return [r[0] for r in df.select(feature).distinct().orderBy(feature).collect()]
+        levels = [r[0] for r in df.select(feature).distinct().orderBy(feature).limit(MAX_LEVELS + 1).collect()]
+        if len(levels) > MAX_LEVELS:
+            raise ValueError(f"{feature} has more than {MAX_LEVELS} levels; every row is repeated once a level: give a grid of those that matter")
+        return levels
     ps = [i / (points - 1) for i in range(points)]
     return sorted(set(df.agg(F.percentile(column(feature), F.array(*[F.lit(p) for p in ps]))).first()[0]))
 
