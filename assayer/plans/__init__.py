@@ -7,7 +7,7 @@ from importlib import import_module
 
 def _all(what: str) -> dict:
     found: dict = {}
-    for name in ("scores", "prep", "models", "explained"):
+    for name in ("scores", "prep", "models", "explained", "closed"):
         found |= getattr(import_module(f"assayer.plans.{name}"), what)
     return found
 
