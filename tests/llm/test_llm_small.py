@@ -8,6 +8,7 @@ import time
 import duckdb
 import numpy as np
 import pytest
+from brute import near_classes
 from pyspark.sql import functions as F
 
 from assayer.llm import components, html, mixing, neardup_embedding, neardup_minhash, quality, queries, shard, topk, urlfilter, warc, wfst, words
@@ -139,36 +140,11 @@ def make_docs(seed=2):
     return list(enumerate(docs))
 
 
-def brute_documents(docs, threshold=0.8, common=0.01):
-    texts = [t for _, t in docs if t]
-    n = sum(t is not None for _, t in docs)
-    _, h, _ = neardup_minhash.counted(texts, 5)
-    u, df = np.unique(h, return_counts=True)
-    floor = max(1.0, common * n)
-    f = df > floor
-    w = neardup_minhash.Weights(float(neardup_minhash.inverse_frequency(floor, n)), u[f], np.asarray(neardup_minhash.inverse_frequency(df[f].astype(float), n)))
-    sets = neardup_minhash.weighted_sets([t for _, t in docs], 5, w)
-    root = {i: i for i, _ in docs}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a in range(len(docs)):
-        for b in range(a):
-            same = docs[a][1] and docs[a][1] == docs[b][1]
-            if same or neardup_minhash.similarity(sets[a], sets[b]) >= threshold:
-                x, y = sorted((find(docs[a][0]), find(docs[b][0])))
-                root[y] = x
-    return {i: find(i) for i, _ in docs}
-
-
 def test_near_documents_match_brute_force(spark):
     docs = make_docs()
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("digest", F.lit(1))
     got = dict(rows(neardup_minhash.near_duplicate_documents(df, block_bytes=400), "doc_id", "class_id"))
-    want = brute_documents(docs)
+    want = near_classes(docs)
     assert got == want and len(set(want.values())) < len(docs)
     kept = neardup_minhash.drop_near_duplicates(df.unionByName(df.filter("doc_id in (0, 5)")).unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long"))))
     ids = [r["doc_id"] for r in kept.collect()]
@@ -185,7 +161,7 @@ def test_documents_link_by_exact_frequencies(spark):
         base = [word() for _ in range(100)]
         docs += [" ".join(base)] * 3 + [" ".join(base[: 100 - n]) + " " + " ".join(word() for _ in range(n)) for n in (9, 10, 11)]
     docs = list(enumerate(docs))
-    want, floored = brute_documents(docs, common=0.0), brute_documents(docs)
+    want, floored = near_classes(docs), near_classes(docs, least=0.01 * len(docs))
     assert want != floored
     got = dict(rows(neardup_minhash.near_duplicate_documents(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "class_id"))
     assert got == want
