@@ -166,9 +166,10 @@ def near_duplicate_vectors(
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), v.alias("vec"))
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("vec", finite) & F.exists("vec", lambda c: c != 0)
-    # a vector is divided by its largest component, so that squares neither overflow nor vanish
+    # a vector is divided by its largest component, so that squares neither overflow nor vanish;
+    # inside a lambda the largest would be sought anew for every component
     largest = F.array_max(F.transform("vec", F.abs))
-    live = rows.filter(F.coalesce(ok, F.lit(False))).select("vec_id", "label", F.transform("vec", lambda c: c / largest + 0.0).alias("vec"), F.size("vec").alias("dim"))
+    live = rows.filter(F.coalesce(ok, F.lit(False))).select("vec_id", "label", F.zip_with("vec", F.array_repeat(largest, F.size("vec")), lambda c, m: c / m + 0.0).alias("vec"), F.size("vec").alias("dim"))
     live = live.withColumn("h", F.xxhash64("vec"))
     keyed = live.groupBy("label", "h", "vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("dim").alias("dim"))
     classes = stored(keyed, "vector-classes")
