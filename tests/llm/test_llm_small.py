@@ -81,6 +81,21 @@ def test_near_vectors_match_brute_force(spark):
     assert neardup_embedding.near_duplicate_vectors(vectors(spark, [])).count() == 0
 
 
+def test_sketches_keep_pairs_at_the_threshold():
+    r = np.random.default_rng(3)
+    x, y = r.standard_normal((2, 5000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    a = math.acos(0.98)
+    apart = lambda u, v: np.unpackbits(neardup_embedding.signatures(u, 6, 2, 17)[1] ^ neardup_embedding.signatures(v, 6, 2, 17)[1], axis=1).sum(1)
+    off = apart(x, math.cos(a) * x + math.sin(a) * y)
+    assert abs(off.mean() / neardup_embedding.SKETCH - a / math.pi) < 0.005
+    limit = neardup_embedding.sketch_limit(0.98, 1e-8)
+    assert off.max() <= limit < 64 < apart(x, y).min()
+    assert neardup_embedding.sketch_limit(0.98, 1e-3) < limit < neardup_embedding.sketch_limit(0.9, 1e-8) and neardup_embedding.sketch_limit(-1.0, 1e-8) == neardup_embedding.SKETCH
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(6)
     table = [(i, [float(np.float32(x)) for x in rng.standard_normal(6)], 0) for i in range(120)] + [(200, None, 0), (250, [math.nan] * 6, 0), (300, [1.0, 2.0], 0), (None, [1.0] * 6, 0)]
