@@ -19,7 +19,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest id, of each group of near duplicates."""
-    return neardup_minhash.drop_near_duplicates(docs)
+    return neardup_minhash.drop_near_duplicates(docs, unweighted=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import time
 import duckdb
 import numpy as np
 import pytest
-from brute import near_classes
+from brute import near_classes, shingles
 from pyspark.sql import functions as F
 
 from assayer.llm import components, html, mixing, neardup_embedding, neardup_minhash, quality, queries, shard, topk, urlfilter, warc, wfst, words
@@ -201,6 +201,40 @@ def test_bands_find_pairs_near_the_threshold():
     assert pairs >= 250 and found / pairs >= 0.99, (found, pairs)
 
 
+def test_near_copies_in_large_groups_link(spark):
+    # a text with many copies, whose shingles weigh little beside the words that its near copies change
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    docs = [" ".join(word() for _ in range(20)) for _ in range(600)]
+    base = [word() for _ in range(100)]
+    far = [" ".join(base[: 100 - n] + [word() for _ in range(n)]) for n in (6, 7, 8, 9, 13, 14)]
+    docs = list(enumerate([*docs, *[" ".join(base)] * 60, *far]))
+    weighted, both = near_classes(docs), near_classes(docs, least=len(docs))
+    assert {weighted[i] for i in range(661, 664)} != {600} and [both[i] == 600 for i in range(660, 666)] == [True] * 4 + [False] * 2
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (8 << 20, 400):
+        got = dict(rows(neardup_minhash.near_duplicate_documents(df, block_bytes=block, unweighted=True), "doc_id", "class_id"))
+        assert got == both
+    assert {r["doc_id"] for r in neardup_minhash.drop_near_duplicates(df, unweighted=True).collect()} == set(both.values())
+
+
+def test_unweighted_classes_match_brute_force(spark):
+    docs = make_docs(seed=3)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = dict(rows(neardup_minhash.near_duplicate_documents(df, block_bytes=400, unweighted=True), "doc_id", "class_id"))
+    bags = {i: set(shingles(t)) for i, t in docs if t}
+    of = near_classes(docs)
+    close = [(a, b) for a in bags for b in bags if a < b and bags[a] & bags[b] and len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b])]
+    moved = True
+    while moved:
+        moved = False
+        for a, b in close:
+            low, high = sorted((of[a], of[b]))
+            moved |= low != high
+            of = {k: low if v == high else v for k, v in of.items()} if low != high else of
+    assert got == of
+
+
 def test_one_id_with_two_texts(spark):
     long = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
     df = spark.createDataFrame([(3, long(1)), (5, long(1)), (5, long(2)), (5, long(2))], "doc_id long, text string")
