@@ -22,8 +22,8 @@ def naive_prediction(df: DataFrame, y: Name, weight: Name | None = None) -> floa
     return float(m.naive(df, y, weight).first()[0])
 
 
-def _family_panel(df: DataFrame, y, mu, w, f: Family, weighted: bool, mean: float) -> dict[str, float]:
-    """Order-free scores in one aggregate, the Gini pair in one walk each."""
+def _family_panel(df: DataFrame, y, mu, w, f: Family, weighted: bool, mean: float, walks: bool = True) -> dict[str, float]:
+    """Order-free scores in one aggregate, the Gini pair in one walk each, unless ``walks`` is false."""
     null = f.unit_deviance(y, F.lit(mean))
     total, n = F.sum(w), F.count(F.lit(1))
     aggs = {
@@ -36,7 +36,7 @@ def _family_panel(df: DataFrame, y, mu, w, f: Family, weighted: bool, mean: floa
         out["deviance_per_row"] = r["deviance"] * r["total"] / r["n"]
     nan = float("nan")
     out |= {"d2": 1 - r["deviance"] / r["null"] if r["null"] else nan, "gini": nan, "normalized_gini": nan}
-    if r["least"] >= 0:
+    if walks and r["least"] >= 0:
         g, top = (m.gini(df, y, s, w, False).first()[0] for s in (mu, y / w))
         out |= {"gini": g, "normalized_gini": g / top if top and top > 0 else nan}
     return out | {"balance": r["balance"], "rmse": r["rmse"], "mae": r["mae"], "r2": 1 - r["error"] / r["spread"] if r["spread"] else nan}
@@ -90,8 +90,9 @@ def scorecard(df: DataFrame, y: Name, mu: Name, family: str | Family, weight: Na
         found = check(df, inputs(a, b, w, f, positive_weight=True), w)
         mean = naive_prediction(df, a, w)
         model = _family_panel(df, a, b, w, f, weight is not None, mean)
-        naive = _family_panel(df, a, F.lit(mean), w, f, weight is not None, mean) | {"d2": 0.0, "r2": 0.0, "balance": 1.0}
-        if model["gini"] == model["gini"]:
+        ranked = model["gini"] == model["gini"]  # a constant ranks nothing then
+        naive = _family_panel(df, a, F.lit(mean), w, f, weight is not None, mean, not ranked) | {"d2": 0.0, "r2": 0.0, "balance": 1.0}
+        if ranked:
             naive |= {"gini": 0.0, "normalized_gini": 0.0}
     return Scorecard(f.name, label, int(found["n"]), model, naive)
 

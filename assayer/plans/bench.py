@@ -120,7 +120,7 @@ def scored(df: DataFrame, task: Task) -> tuple[DataFrame, str, str | None]:
 
 def run(
     df: DataFrame, task: Task, models: dict[str, Callable[[], Model]], fold: str | None = None, time_col: str | None = None, folds: int = 5, id_col: str | None = None, features: Sequence[str] = (), bins: int = 10,
-    explain_rows: int = 5000, progress: Callable[[str], None] | None = None, ladder: Sequence[str] = (), dataset: str | None = None,
+    explain_rows: int = 5000, progress: Callable[[str], None] | None = None, ladder: Sequence[str] = (), dataset: str | None = None, report: bool = True,
 ) -> Result:
     """Fits every model on every training part and scores it on the part held out.
 
@@ -128,7 +128,8 @@ def run(
     A rate task fits counts with the log of the exposure as offset and predicts without it.
     Models are explained on ``explain_rows`` rows of each part held out, those of the smallest
     id hashes; scores are of all rows. ``ladder`` names models in the order in which each adds
-    to the one before, ``dataset`` says where the rows come from.
+    to the one before, ``dataset`` says where the rows come from. Without ``report`` neither
+    the report nor the pooled scorecards are made, which the summary over folds does not need.
     """
     strange = [n for n in ladder if n not in models]
     if strange:
@@ -175,7 +176,8 @@ def run(
     for h in held[1:]:
         oof = oof.unionByName(h)
     result = Result(task, cards, seconds, oof, ladder=tuple(ladder))
-    build(result, oof, y, w, features, bins, {n: views.merged(v) for n, v in looks.items() if v}, time_col, dataset)
+    if report:
+        build(result, oof, y, w, features, bins, {n: views.merged(v) for n, v in looks.items() if v}, time_col, dataset)
     return result
 
 

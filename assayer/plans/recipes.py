@@ -100,13 +100,13 @@ RECIPES: dict[str, Recipe] = {
 }
 
 
-def run_named(name: str, spark: SparkSession, sf_dir: str, progress: Callable[[str], None] | None = None, features: tuple[str, ...] | None = None) -> bench.Result:
+def run_named(name: str, spark: SparkSession, sf_dir: str, progress: Callable[[str], None] | None = None, features: tuple[str, ...] | None = None, report: bool = True) -> bench.Result:
     if name not in RECIPES:
         raise ValueError(f"recipe {name!r} is unknown; use one of {', '.join(RECIPES)}")
     r = RECIPES[name]
     df = r.load(spark, sf_dir)
     df = (r.fold(df) if r.fold else df).persist()
     try:
-        return bench.run(df, r.task, r.models, fold="fold" if r.fold else None, time_col=r.time, folds=3, id_col="id", features=r.features if features is None else features, progress=progress, ladder=r.ladder, dataset=f"{r.load.__name__.strip('_')} of {sf_dir}")
+        return bench.run(df, r.task, r.models, fold="fold" if r.fold else None, time_col=r.time, folds=3, id_col="id", features=r.features if features is None else features, progress=progress, ladder=r.ladder, dataset=f"{r.load.__name__.strip('_')} of {sf_dir}", report=report)
     finally:
         df.unpersist()

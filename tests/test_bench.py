@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.operators import explain
+from assayer.operators import explain, scorecard
 from assayer.operators.glm import GLM
 from assayer.plans import bench, views
 
@@ -50,6 +50,18 @@ def test_time_bench_reports_time_ladder_and_pairs(spark):
         bench.validate(r.report)
 
 
+def test_summary_needs_no_report(spark, monkeypatch):
+    d = spark.range(60).select((F.col("id") % 2).alias("fold"), (F.col("id") % 4).cast("double").alias("x"), (1 + F.col("id") % 4 + F.col("id") % 3).cast("double").alias("y"))
+    walks = []
+    gini = scorecard.m.gini
+    monkeypatch.setattr(scorecard.m, "gini", lambda *a: walks.append(a) or gini(*a))
+    monkeypatch.setattr(bench, "build", None)
+    r = bench.run(d, bench.Task("y", "poisson"), {"line": lambda: GLM("poisson", {"x": "raw"})}, fold="fold", report=False)
+    got = {(s["model"], s["metric"]): s["mean"] for s in r.summary()}
+    # the model's ranking and the best one, once a fold; the constant's is 0
+    assert len(walks) == 4 and got["naive", "gini"] == got["naive", "normalized_gini"] == 0 < got["line", "gini"] and r.report == {}
+
+
 def test_refusals(spark):
     d = spark.range(40).select(F.col("id"), F.col("id").cast("double").alias("t"), (1 + F.col("id") % 4).cast("double").alias("y"))
     with pytest.raises(ValueError, match="ladder names other"):
