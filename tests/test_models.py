@@ -1,13 +1,14 @@
 """Splits, encoders, fits against closed forms and optimality conditions, benches and data cleaning."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions.family import ARRAYS, Family
 from assayer.operators import encoders as enc
 from assayer.operators import explain, splits
-from assayer.operators.glm import GLM, solver
+from assayer.operators.glm import GLM, gram, solver
 from assayer.operators.mllib import MLlibGLM
 from assayer.plans import bench
 from assayer.sources import data
@@ -113,6 +114,31 @@ def test_gaussian_line(spark):
     assert list(GLM("gaussian", {"x": "raw"}).fit(d, "y").coef.values()) == pytest.approx([1, 2])
 
 
+def test_equal_rows_are_folded(monkeypatch):
+    r = np.random.default_rng(3)
+
+    def batch(n, noise):
+        x = np.column_stack([np.ones(n), r.integers(0, 4, n) + noise * r.random(n)])
+        return pa.RecordBatch.from_arrays([pa.array(list(x)), *(pa.array(v.astype(float)) for v in (r.integers(0, 5, n), r.integers(1, 4, n), np.zeros(n), r.integers(0, 2, n)))], names=["x", "y", "w", "o", "fold"])
+
+    f = Family.of("poisson")
+    kernel = gram.Kernel(f, f.link)
+    monkeypatch.setattr(gram, "BLOCK", 500 * 7 * 8)
+    for noise in (0, 1):
+        batches = [batch(400, noise) for _ in range(10)]
+        plain = [rows for rows, _ in gram._rows(batches)]
+        blocks = [np.frombuffer(b.column("rows")[0].as_buffer()).reshape(b.column("n")[0].as_py(), -1) for b in gram._pack(batches)]
+        assert sum(b[:, -2].sum() for b in blocks) == 4000 and sum(map(len, blocks)) <= (4 * 5 * 3 * 2 if not noise else 4000)
+        for what, arg in (("working", None), ("working", np.array([0.4, 0.1])), ("deviances", [np.array([0.4, 0.1])]), ("inference", np.array([0.4, 0.1])), ("gradient", np.array([0.4, 0.1])), ("weight", None)):
+            for fold in (None, ("out", 1), ("in", 1)):
+                a, b = (gram._quiet(kernel, what, [np.concatenate(c) for c in zip(*(gram._pick(x, fold, None) for x in part), strict=True)], (arg,)) for part in (blocks, plain))
+                assert all(np.allclose(u, v, rtol=1e-10) for u, v in zip(a, b, strict=True)), what
+    # rows that only share a hash stay apart
+    monkeypatch.setattr(gram.np, "unique", lambda k, u=np.unique, **o: u(k * np.uint64(0) if k.dtype == np.uint64 else k, **o))
+    rows = np.array([[1.0, 2.0, 1.0, 0.0], [1.0, 3.0, 1.0, 0.0], [1.0, 2.0, 1.0, 0.0]])
+    assert sorted(gram.folded(rows).tolist()) == [[1, 2, 2, 0], [1, 3, 1, 0]]
+
+
 def test_partitions_do_not_matter(claims):
     fit = lambda d: GLM("poisson", {"age": "spline", "region": "onehot"}).fit(d, "y", offset="o")
     base = fit(claims)
